@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format
+from . import chat_format, simhash
 
 QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {
