@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, simhash
+from . import bpe, chat_format, mixing, multiset_hash, simhash
 
 QUERIES = {
+    "op2_multiset_hash": multiset_hash.op2_multiset_hash,
+    "op6_bpe": bpe.op6_bpe,
+    "op8_mixing": mixing.op8_mixing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_simhash": simhash.op10_simhash,
 }
