@@ -39,3 +39,13 @@ def small(df: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20) -> DataFram
     """Hint a broadcast of an already materialised ``df`` if its counted rows fit ``limit_bytes``;
     a larger one is returned as it is and joined by a shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has fewer), picked by a hash of ``key``: a filter with a
+    threshold from the counted rows, so no sort and nothing gathered; a rerun picks the same rows."""
+    n = df.count()
+    if n <= rows:
+        return df
+    steps = 1 << 30
+    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(steps)) < F.lit(int(rows / n * steps)))

@@ -9,8 +9,8 @@ The ordinary dictionary comes from zstandard's trainer. That trainer picks what
 toxic text is ordinary text; so the toxic dictionary is made of the word beginnings whose document
 frequency in toxic text, net of ordinary text, is significantly higher (G statistic), longest first.
 
-Training uses at most ``toxic_docs`` and ``ordinary_docs`` labelled documents (those first by a hash of
-their id), which bounds what the driver holds; the calibration is fitted on features from dictionaries
+Training uses about ``toxic_docs`` and ``ordinary_docs`` labelled documents (picked by a hash of their
+id; all, if there are fewer), which bounds what the driver holds; the calibration is fitted on features from dictionaries
 that did not see the document (cross-fitting). Scoring reads every word of every text.
 
 Defined results: null and empty texts have no window and get the score the calibration gives to no
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, hash_sample, table
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 TAIL = b"#" * 96
@@ -178,8 +178,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, ordinar
     """Texts of at most so many labelled toxic and ordinary documents outside the held-out fold."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.filter(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), hold_out) != 0)).dropDuplicates(["doc_id"])
-    order = F.xxhash64("doc_id", F.lit(11))
-    few = ids.filter("toxic = 1").orderBy(order, "doc_id").limit(toxic_docs).unionAll(ids.filter("toxic = 0").orderBy(order, "doc_id").limit(ordinary_docs))
+    few = hash_sample(ids.filter("toxic = 1"), "doc_id", toxic_docs).unionAll(hash_sample(ids.filter("toxic = 0"), "doc_id", ordinary_docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     got = texts.join(F.broadcast(few), "doc_id").limit(2 * (toxic_docs + ordinary_docs)).collect()
     once = {r.doc_id: r for r in sorted(got, key=lambda r: (r.doc_id, r.text))}
