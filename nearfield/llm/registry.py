@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, language_id, license_scan, mixing, multiset_hash, simhash, toxicity
+from . import bpe, chat_format, language_id, license_scan, mixing, multiset_hash, pii, simhash, toxicity
 
 QUERIES = {
     "op2_multiset_hash": multiset_hash.op2_multiset_hash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_bpe": bpe.op6_bpe,
+    "op7_pii": pii.op7_pii,
     "op8_mixing": mixing.op8_mixing,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_simhash": simhash.op10_simhash,
