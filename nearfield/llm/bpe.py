@@ -33,15 +33,40 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
 
 
+class Recent:
+    """What was computed for short strings, in two generations of at most ``most`` entries: when the new
+    one is full it becomes the old one, whose entries come back when they are asked for."""
+
+    def __init__(self, most: int, longest: int = 64):
+        self.most, self.longest = most, longest
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def find(self, key: str):
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is not None:
+                self.keep(key, got)
+        return got
+
+    def keep(self, key: str, value) -> None:
+        if len(key) <= self.longest:
+            if len(self.new) >= self.most:
+                # emptied in place: callers hold the new generation while they walk a text
+                self.old = dict(self.new)
+                self.new.clear()
+            self.new[key] = value
+
+
 class Codec:
     """Encoder and decoder for one vocabulary of byte tokens; merges follow the ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep_chunks: int = 200_000, keep_len: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.keep_chunks, self.keep_len = keep_chunks, keep_len
+        self.chunks, self.pieces = Recent(keep), Recent(keep)
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int | None] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
@@ -105,12 +130,10 @@ class Codec:
         if not piece:
             return ()
         n = len(piece)
-        longest: list[int] = [-1] * n
-        size = [0] * n
-        for end, (length, r) in self.matcher.iter(piece.decode("latin-1")):
-            at = end - length + 1
-            if length > size[at]:
-                size[at], longest[at] = length, r
+        line = piece.decode("latin-1")
+        # one pass of leftmost-longest matches gives the longest token at each place the greedy walk
+        # visits; elsewhere it is looked up when a shorter token leads there
+        longest = {end - length + 1: r for end, (length, r) in self.matcher.iter_long(line)}
         out: list[int] = []
         lengths = self.bytes_of
         dead = bytearray(n + 1)
@@ -122,7 +145,9 @@ class Codec:
                 at += step
                 if at == n:
                     return tuple(out)
-                token = longest[at]
+                token = longest.get(at)
+                if token is None:
+                    token = longest[at] = next(self.matcher.iter_long(line, at))[1][1]
                 continue
             shorter = self.next_shorter(token)
             while shorter is None:
@@ -134,8 +159,18 @@ class Codec:
             token = shorter
 
     def _encode_chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(i for piece in self.find(chunk) for i in self.encode_piece(piece.encode("utf-8")))
-        return ids, ",".join(map(str, ids))
+        got = self.chunks.find(chunk)
+        if got is None:
+            ids: list[int] = []
+            for piece in self.find(chunk):
+                part = self.pieces.find(piece)
+                if part is None:
+                    part = self.encode_piece(piece.encode("utf-8"))
+                    self.pieces.keep(piece, part)
+                ids += part
+            got = tuple(ids), ",".join(map(str, ids))
+            self.chunks.keep(chunk, got)
+        return got
 
     def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """(ids, ids as decimals) of consecutive chunks of a text; chunks met before are looked up.
@@ -143,7 +178,7 @@ class Codec:
         A text is cut before each single space that stands between two characters other than white
         space: no match of the pattern crosses such a place, so the cut changes nothing.
         """
-        known, out = self.chunks, []
+        known, out = self.chunks.new, []
         held = None  # what can't be cut yet
         for n, word in enumerate(text.split(" ")):
             chunk = " " + word if n else word
@@ -158,13 +193,7 @@ class Codec:
                     held = chunk
                     continue
             got = known.get(chunk)
-            if got is None:
-                got = self._encode_chunk(chunk)
-                if len(chunk) <= self.keep_len:
-                    if len(known) >= self.keep_chunks:
-                        known.clear()
-                    known[chunk] = got
-            out.append(got)
+            out.append(self._encode_chunk(chunk) if got is None else got)
         if held:
             out.append(self._encode_chunk(held))
         return out
