@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, language_id, license_scan, mixing, multiset_hash, pii, simhash, toxicity
+from . import bpe, chat_format, language_id, license_scan, mixing, multiset_hash, pii, simhash, toxicity, vamana
 
 QUERIES = {
+    "op1_vamana": vamana.op1_vamana,
     "op2_multiset_hash": multiset_hash.op2_multiset_hash,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
