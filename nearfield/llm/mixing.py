@@ -20,10 +20,13 @@ target held at ``cap`` times its size, and an empty table gives no rows; extra c
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import shared, table
 
@@ -84,7 +87,7 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, block_words: int = 128,
-    shard_docs: int = 20_000, max_shards: int = 4096, seed: int = 17, size: Column | None = None,
+    shard_docs: int = 4000, max_shards: int = 4096, seed: int = 17, size: Column | None = None,
 ) -> DataFrame:
     """Adds to ``docs``: size, source_size, target, start, stream, quota, u, taken.
 
@@ -148,6 +151,52 @@ def times(block: int, blocks: int, quota: int, u: int) -> int:
     return quota // blocks + ((block + 1) * r + u) // blocks - (block * r + u) // blocks
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def taken_texts(text: str, start: int, block_words: int, blocks: int, quota: int, u: int) -> list[str]:
+    """What the mix takes of a text: one text for each pass, the words of the blocks it takes that often.
+    Words that stand together keep what stood between them; a gap becomes a line break."""
+    spans = [m.span() for m in WORD.finditer(text)]
+    if not spans:
+        return []
+    first, last = start // block_words, (start + len(spans) - 1) // block_words
+    counts = [times(b, blocks, quota, u) for b in range(first, last + 1)]
+    out = []
+    for p in range(1, max(counts) + 1):
+        if min(counts) >= p:
+            out.append(text)
+            continue
+        parts, at = [], 0
+        while at < len(counts):
+            end = at
+            while end < len(counts) and counts[end] >= p:
+                end += 1
+            if end > at:
+                lo, hi = max(0, (first + at) * block_words - start), min(len(spans), (first + end) * block_words - start)
+                parts.append(text[spans[lo][0] : spans[hi - 1][1]])
+            at = max(end, at + 1)
+        out.append("\n".join(parts))
+    return out
+
+
+def mixed_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source"), block_words: int = 128, **options) -> DataFrame:
+    """The mix itself: rows (``keep``, text), one for each pass over a document that takes some of its words."""
+    plan = mix(docs.select(*dict.fromkeys([*keep, "doc_id", "source", "text"])), block_words=block_words, **options)
+    rows = plan.filter("taken > 0").select(*keep, F.col("text").cast("string").alias("_text"), "start", "blocks", "quota", F.col("u").cast("long").alias("u"))
+    schema = T.StructType(docs.select(*keep).schema.fields + [T.StructField("text", T.StringType())])
+    n = len(keep)
+
+    def run(batches):
+        for b in batches:
+            rest = [b.column(n + i).to_pylist() for i in range(5)]
+            got = [taken_texts(t, s, block_words, blocks, q, u) for t, s, blocks, q, u in zip(*rest, strict=True)]
+            at = pa.array([i for i, g in enumerate(got) for _ in g], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(n)), pa.array([t for g in got for t in g], pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
     sized = shared(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))

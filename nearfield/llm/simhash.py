@@ -31,22 +31,29 @@ from .components import connected_components
 
 SEED = 42
 LEAF = 16
+BINS = 128
+ROUTES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
-def fingerprint(text: bytes, k: int = 4) -> int:
-    """Fingerprint of UTF-8 text: A-Z lower-cased, words parted by ASCII white space, ``k``-word shingles."""
+def shingle_hashes(text: bytes, k: int = 4) -> np.ndarray:
+    """Hashes of the ``k``-word shingles of UTF-8 text: A-Z lower-cased, words parted by ASCII white space."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.array([], np.uint64)
     line = b" ".join(words)
     if len(words) <= k:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     n = len(words) - k + 1
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[k - 1 :].tolist(), len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of the hashes; no hashes: zero."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 255):
         part = hashes[at : at + 255]
@@ -54,6 +61,28 @@ def fingerprint(text: bytes, k: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, k: int = 4) -> int:
+    """SimHash of a text over its ``k``-word shingles, repeats included."""
+    return majority(shingle_hashes(text, k))
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """The least shingle hash in each of ``BINS`` equal ranges of hash values, 16 bits each, 0 for none."""
+    h = np.sort(hashes)
+    out = np.zeros(BINS, np.uint16)
+    if len(h):
+        where = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        out[where[first]] = np.maximum(h[first] & np.uint64(0xFFFF), 1)
+    return out.tobytes()
+
+
+def resemblance(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles (Jaccard) of one signature and each row of ``many``."""
+    some = (many != 0) | (one != 0)
+    return ((many == one) & some).sum(axis=1) / np.maximum(1, some.sum(axis=1))
+
+
 def with_fingerprint(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
 
@@ -98,39 +127,46 @@ def tree_links(members: np.ndarray, queries: np.ndarray, radius: int):
                 stack.append((rest[to_rest == d], follow))
 
 
-def _forest(fps: np.ndarray, first: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of one shard; ``first`` marks the chunk that makes the tree (all in both, if one)."""
+def _forest(nodes: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int, sigs: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of one shard; ``first`` marks the chunk that makes the tree (all in both, if one).
+    With signatures, a link also needs a resemblance of ``least``."""
     whole = first.all()
     base, asked = (np.arange(len(fps)), np.arange(len(fps))) if whole else (np.flatnonzero(first), np.flatnonzero(~first))
     label = np.arange(len(fps))
     for i, near in tree_links(fps[base], fps[asked], radius):
         own = label[base[i]]
-        got = label[asked[near]]
-        got = got[got != own]
-        if len(got):
-            both = np.append(got, own)
+        at = asked[near]
+        at = at[label[at] != own]  # links inside a component already found add nothing
+        if len(at) and sigs is not None:
+            at = at[resemblance(sigs[base[i]], sigs[at]) >= least]
+        if len(at):
+            both = np.append(label[at], own)
             label[np.isin(label, both)] = both.min()
     joined = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[joined], fps[label[joined]]
+    return nodes[joined], nodes[label[joined]]
 
 
-def link_forest(nodes: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """Edges (a, b) whose connected components are those of all links among distinct ``nodes`` (fp)."""
-    keyed = nodes.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
+def link_forest(nodes: DataFrame, keys: Column, radius: int, shard_rows: int, least: float | None = None) -> DataFrame:
+    """Edges (a, b) whose connected components are those of all links that lie inside some shard.
+
+    ``nodes`` has node (long, distinct), fp and, if ``least`` is given, sig; ``keys`` is an array of shard keys.
+    """
+    cols = ["node", "fp"] + ["sig"] * (least is not None)
+    keyed = nodes.select(*cols, F.explode(F.array_distinct(keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunk = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))
     cells = (
         keyed.join(sizes, "key")
         .withColumn("chunks", F.ceil(F.col("n") / shard_rows).cast("long"))
         .withColumn("chunk", chunk)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "fp")
+        .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", *cols)
     )
 
     def run(batches):
         rest = None
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -144,10 +180,14 @@ def link_forest(nodes: DataFrame, radius: int = 4, shard_rows: int = 4096) -> Da
             yield from _solve(rest, np.array([], np.int64))
 
     def _solve(cols, cuts):
-        lo, chunk, fps = cols[1], cols[3], cols[4].view(np.uint64)
-        outs = [_forest(fps[a:z], chunk[a:z] == lo[a:z], radius) for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)], strict=True) if z - a > 1]
+        lo, chunk, node, fps = cols[1], cols[3], cols[4], cols[5].view(np.uint64)
+        outs = []
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(fps)], strict=True):
+            if z - a > 1:
+                sigs = np.frombuffer(b"".join(cols[6][a:z]), np.uint16).reshape(z - a, BINS) if least is not None else None
+                outs.append(_forest(node[a:z], fps[a:z], chunk[a:z] == lo[a:z], radius, sigs, least or 0.0))
         if outs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in outs]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in outs])) for i in (0, 1)], names=["a", "b"])
 
     return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
@@ -156,12 +196,49 @@ def near_duplicate_components(fps: DataFrame, radius: int = 4, shard_rows: int =
     """``fps`` (doc_id, fp) → (doc_id, fp, component_id): the least non-null id reachable over links."""
     fps = shared(fps)
     nodes = shared(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = connected_components(link_forest(nodes, radius, shard_rows))
+    labels = connected_components(link_forest(nodes.select(F.col("fp").alias("node"), "fp"), block_keys(F.col("fp"), radius), radius, shard_rows))
     linked = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     return fps.join(linked.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, shard_rows: int = 2048) -> DataFrame:
+    """``docs`` (with doc_id and text) without near-duplicates: one row of each group stays, the one of the least id.
+
+    Two texts are linked if they share ``similarity`` of their ``k``-word shingles (by signature) and their
+    fingerprints lie within ``radius``; at a similarity of 0.8 about 10 bits differ, so the radius only
+    saves comparisons. Bit blocks are no use at such a radius; instead a text goes to the shards of its least
+    shingle hashes under six multipliers, where two texts of that similarity miss each other in all six with
+    a chance of 0.2^6. Texts without a word are one group. Null ids come last in order.
+    """
+
+    def run(batches):
+        for b in batches:
+            nodes, fps, sigs, keys = [], [], [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_hashes(t or b"", k)
+                sig = signature(h)
+                fps.append(majority(h))
+                sigs.append(sig)
+                with np.errstate(over="ignore"):
+                    keys.append([int((h * m).min().view(np.int64)) for m in ROUTES] if len(h) else [0])
+                nodes.append(xxhash.xxh64_intdigest(sig + fps[-1].to_bytes(8, "little")))
+            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long(nodes), as_long(fps), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "fp", "sig", "keys"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    rows = shared(rows.mapInArrow(run, "doc_id long, th long, node long, fp long, sig binary, keys array<long>"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    nodes = shared(rows.groupBy("node").agg(F.min(own).alias("rep"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    labels = connected_components(link_forest(nodes, F.col("keys"), radius, shard_rows, similarity))
+    linked = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    kept = linked.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("kept_id"), F.col("rep.th").alias("kept_th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))
+    # rows that agree in id and text are one document; only one of them stays
+    return docs.join(kept, same).dropDuplicates(["kept_id", "kept_th"]).drop("kept_id", "kept_th")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     out = near_duplicate_components(with_fingerprint(table(spark, sf_dir, "documents")))
