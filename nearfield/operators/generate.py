@@ -28,10 +28,10 @@ def random_matrix(spark: SparkSession, rows: int, cols: int, degree: int, distri
 
 def parameter_grid(spark: SparkSession, **axes: list) -> DataFrame:
     """All combinations of the given values, a column for each name."""
-    out = spark.range(1).drop("id")
+    out = spark.range(1, numPartitions=1).withColumnRenamed("id", "_id")
     for name, values in axes.items():
-        out = out.crossJoin(spark.createDataFrame([(v,) for v in values], [name]))
-    return out
+        out = out.withColumn(name, F.explode(F.lit(values)))
+    return out.drop("_id")
 
 
 def query_vector(spark: SparkSession, cols: int, seed: int | None = 1, sum_to_one: bool = False, l2: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
-from ..operators import error_model, generate, graph, matrix, rank_metrics, spmv, stats, topk
+from ..operators import graph, matrix, spmv, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
