@@ -179,10 +179,10 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96, query_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, v), itself left out."""
     blocks = max(1, -(-queries.count() // query_rows))
-    shards = index.select("shard").distinct()
+    last = index.agg(F.max(F.substring_index("shard", "/", -1).cast("int"))).first()[0] or 0
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    # a small table of shard names meets every query: a stated query set against all rows, in blocks
-    q = q.join(F.broadcast(shards), F.substring_index("shard", "/", 1).cast("int") == F.size("q"))
+    # a stated query set meets all shards, in blocks
+    q = q.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.concat_ws("/", F.size("q"), i))))
     by_block = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +203,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96, que
                     out += [(me, i, -s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = by_block.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
+    found = by_block.groupBy("shard", "block").cogroup(q.groupBy("to", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
