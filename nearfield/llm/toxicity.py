@@ -7,11 +7,12 @@ bytes go into a logistic calibration that gives the score.
 
 The ordinary dictionary comes from zstandard's trainer. That trainer picks what is frequent, and most of
 toxic text is ordinary text; so the toxic dictionary is made of the word beginnings whose document
-frequency in toxic text, net of ordinary text, is significantly higher (G statistic), longest first.
+frequency in toxic text, net of ordinary text, is higher beyond chance (G statistic over all candidates).
 
 Training uses about ``toxic_docs`` and ``ordinary_docs`` labelled documents (picked by a hash of their
-id; all, if there are fewer), which bounds what the driver holds; the calibration is fitted on features from dictionaries
-that did not see the document (cross-fitting). Scoring reads every word of every text.
+id; all, if there are fewer), which bounds what the driver holds; near copies among them count once. The
+calibration is fitted on features from dictionaries that did not see the document (cross-fitting), and 0.5
+stands where the share caught, less ``alarm_cost`` times the share of false alarms, is highest there. Scoring reads every word of every text.
 
 Defined results: null and empty texts have no window and get the score the calibration gives to no
 evidence; documents with a null id are scored, with held_out null; rows are independent, so repeated rows
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -35,6 +37,7 @@ from .common import crc_mod, hash_sample, table
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 TAIL = b"#" * 96
+GAP = bytes(8)  # so that no match runs from the dictionary text into the tail
 LEVEL = 6
 GAINS = range(1, 7)
 FEATURES = 2 * len(GAINS) + 3
@@ -79,15 +82,34 @@ def toxic_segments(toxic: list[Counter], ordinary: list[Counter], most: int = 40
             return 0.0
         return 2 * sum(x * math.log(x / e) for x, e in ((a, (n + 0.5) * p), (b, (m + 0.5) * p), (n + 0.5 - a, (n + 0.5) * (1 - p)), (m + 0.5 - b, (m + 0.5) * (1 - p))) if x > 0)
 
+    # the largest of that many statistics of chance lies near 2 log(candidates)
+    chance = 2 * math.log(max(2, len(seen))) + 6
     got: list[bytes] = []
     for score, _, s in sorted(((g(s), len(s), s) for s in seen), reverse=True):
-        if score < 12 or len(got) >= most:
+        if score < chance or len(got) >= most:
             break
         if not any(x.startswith(s) or s.startswith(x) for x in got):
             got.append(s)
     return got
 
 
+def without_copies(docs: list[Counter], hashes: int = 8, same: int = 3) -> list[Counter]:
+    """Documents that don't share ``same`` of ``hashes`` least word hashes with one before: a text copied with small
+    changes counts once in the statistics."""
+    seen: dict[tuple[int, bytes], int] = {}
+    out = []
+    for d in docs:
+        long = [w for w in d if len(w) > 4] or list(d)
+        least = [(i, min(zlib.crc32(w, i).to_bytes(4, "big") + w for w in long)) for i in range(hashes)] if long else []
+        met = Counter(seen[k] for k in least if k in seen)
+        if met and max(met.values()) >= same:
+            continue
+        for k in least:
+            seen.setdefault(k, len(out))
+        out.append(d)
+    return out
+
+
 class Model:
     """Two dictionaries and a calibration; sent to executors whole (a few tens of kilobytes)."""
 
@@ -99,14 +121,14 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_gains": {}, "_pair": None}
 
-    def learn_gains(self, words: set[bytes], keep: int = 400_000) -> None:
+    def learn_gains(self, words: set[bytes], keep: int = 150_000) -> None:
         """Compress the windows of words not met before with both dictionaries."""
         new = [w for w in words if w not in self._gains]
         if len(self._gains) + len(new) > keep:
             self._gains.clear()
             new = list(words)
         if self._pair is None:
-            self._pair = _compressor(self.ordinary + TAIL), _compressor(self.toxic + TAIL)
+            self._pair = _compressor(self.ordinary + GAP + TAIL), _compressor(self.toxic + GAP + TAIL)
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
             windows = [b" " + w + b" " + TAIL for w in part]
@@ -129,7 +151,7 @@ class Model:
                 g = gains[w]
                 if g > 0:
                     by[min(g, len(GAINS))] += c
-                    if g >= 2 and 5 * g >= 2 * (len(w) + 2):
+                    if g >= 3 and len(w) > 3 and 5 * g >= 2 * (len(w) + 2):
                         strong += c
             at_least = by[::-1].cumsum()[::-1][1:]
             out[i] = [*np.log1p(at_least), *(20 * at_least / max(1, total)), math.log1p(strong), math.log1p(total), float(strong > 0)]
@@ -150,11 +172,13 @@ def _dictionaries(toxic: list[Counter], ordinary: list[Counter], size: int = 409
     return Model(b"".join(reversed(toxic_segments(toxic, ordinary))), common)
 
 
-def train(toxic: list[str], ordinary: list[str], folds: int = 3) -> Model | None:
+def train(toxic: list[str], ordinary: list[str], folds: int = 5, alarm_cost: float = 4.0, ridge_weight: float = 1.0) -> Model | None:
     """Dictionaries from all texts, calibration from features of unseen folds; None without both kinds."""
     if len(toxic) < folds or len(ordinary) < folds:
         return None
-    t, o = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
+    t, o = (without_copies([words_of(x) for x in xs]) for xs in (toxic, ordinary))
+    if len(t) < folds or len(o) < folds:
+        return None
     rows, labels = [], []
     for k in range(folds):
         m = _dictionaries([d for i, d in enumerate(t) if i % folds != k], [d for i, d in enumerate(o) if i % folds != k])
@@ -167,8 +191,15 @@ def train(toxic: list[str], ordinary: list[str], folds: int = 3) -> Model | None
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        ridge = np.diag([1.0] * (len(w) - 1) + [1e-6])
+        ridge = np.diag([ridge_weight] * (len(w) - 1) + [1e-6])
         w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (p - y) + ridge @ w)
+    # the threshold 0.5 stands where the share caught, less alarm_cost times the share of false alarms, is highest
+    logit = x @ w
+    cuts = np.unique(logit)
+    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    bad, good = np.sort(logit[y == 1]), np.sort(logit[y == 0])
+    worth = (1 - np.searchsorted(bad, cuts) / len(bad)) - alarm_cost * (1 - np.searchsorted(good, cuts) / len(good))
+    w[-1] -= cuts[int(worth.argmax())]
     m = _dictionaries(t, o)
     m.weights, m.mean, m.scale = w, mean, scale
     return m
@@ -185,7 +216,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, ordinar
     return [r.text for r in once.values() if r.toxic == 1], [r.text for r in once.values() if r.toxic == 0]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1000, ordinary_docs: int = 2000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1000, ordinary_docs: int = 3000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of every row of ``docs``, and its score."""
     toxic, ordinary = labelled_sample(docs, labels, toxic_docs, ordinary_docs)
     share = len(toxic) / max(1, len(toxic) + len(ordinary))
