@@ -202,11 +202,79 @@ def near_duplicate_components(fps: DataFrame, radius: int = 4, shard_rows: int =
     return fps.join(linked.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, shard_rows: int = 2048) -> DataFrame:
+def _exact_forest(nodes: np.ndarray, sets: list[np.ndarray], first: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs whose sets of hashes have a Jaccard similarity of ``similarity``;
+    ``first`` marks the chunk whose pairs with the other are meant (all pairs, if one)."""
+    whole = first.all()
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    codes = [codes[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    held = np.zeros(int(ends[-1]), np.uint8)
+    label = np.arange(len(nodes))
+    base, asked = (label.copy(), label.copy()) if whole else (np.flatnonzero(first), np.flatnonzero(~first))
+    for i in base.tolist():
+        at = asked[i + 1 :] if whole else asked
+        at = at[label[at] != label[i]]  # links inside a component already found add nothing
+        at = at[np.minimum(sizes[at], sizes[i]) / np.maximum(sizes[at], sizes[i]) >= similarity]
+        if not len(at):
+            continue
+        held[codes[i]] = 1
+        starts = np.cumsum(sizes[at]) - sizes[at]
+        common = np.add.reduceat(held[np.concatenate([codes[j] for j in at.tolist()])], starts, dtype=np.int64)
+        held[codes[i]] = 0
+        at = at[common / (sizes[i] + sizes[at] - common) >= similarity]
+        if len(at):
+            both = np.append(label[at], label[i])
+            label[np.isin(label, both)] = both.min()
+    joined = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[joined], nodes[label[joined]]
+
+
+def exact_links(texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs within a ``label`` that share ``similarity`` of their
+    distinct ``k``-word shingles. ``texts`` has label, chunks, node (long, distinct) and text (binary)."""
+
+    def with_set(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, k)).tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], names=["label", "chunks", "node", "set"])
+
+    def solve(rows):
+        if len(rows) < 2:
+            return
+        nodes, chunk = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
+        a, b = _exact_forest(nodes, [np.frombuffer(r[2], np.uint64) for r in rows], chunk == rows[0][3], similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        at, rows = None, []
+        for b in batches:
+            for label, lo, hi, chunk, node, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (label, lo, hi) != at:
+                    yield from solve(rows)
+                    at, rows = (label, lo, hi), []
+                rows.append((node, chunk, hashes, lo))
+        yield from solve(rows)
+
+    cells = (
+        texts.select("label", "chunks", "node", "text")
+        .mapInArrow(with_set, "label long, chunks long, node long, set binary")
+        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .select("label", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "set")
+    )
+    return cells.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, shard_rows: int = 2048, propose: float = 0.65, chunk_shingles: int = 1 << 20) -> DataFrame:
     """``docs`` (with doc_id and text) without near-duplicates: one row of each group stays, the one of the least id.
 
-    Two texts are linked if they share ``similarity`` of their ``k``-word shingles (by signature) and their
-    fingerprints lie within ``radius``; at a similarity of 0.8 about 10 bits differ, so the radius only
+    Two texts are linked if they share ``similarity`` of their distinct ``k``-word shingles. Signatures only propose:
+    texts with an estimate of ``propose``, over four standard errors lower, and fingerprints within ``radius`` form
+    groups, and inside a group every pair is decided by the shingle hashes themselves. A group of more than
+    ``chunk_shingles`` is cut into chunks that meet in pairs; only texts with a proposal are read again. At a
+    similarity of 0.8 about 10 bits differ, so the radius only
     saves comparisons. Bit blocks are no use at such a radius; instead a text goes to the shards of its least
     shingle hashes under six multipliers, where two texts of that similarity miss each other in all six with
     a chance of 0.2^6. Texts without a word are one group. Null ids come last in order.
@@ -214,24 +282,28 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
 
     def run(batches):
         for b in batches:
-            nodes, fps, sigs, keys = [], [], [], []
+            nodes, fps, sigs, keys, sizes = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t or b"", k)
-                sig = signature(h)
+                some = np.unique(h)
                 fps.append(majority(h))
-                sigs.append(sig)
+                sigs.append(signature(some))
                 with np.errstate(over="ignore"):
-                    keys.append([int((h * m).min().view(np.int64)) for m in ROUTES] if len(h) else [0])
-                nodes.append(xxhash.xxh64_intdigest(sig + fps[-1].to_bytes(8, "little")))
+                    keys.append([int((some * m).min().view(np.int64)) for m in ROUTES] if len(h) else [0])
+                nodes.append(xxhash.xxh64_intdigest(some.tobytes()))  # texts with the same shingles are one node
+                sizes.append(len(some))
             as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long(nodes), as_long(fps), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "node", "fp", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long(nodes), as_long(fps), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), as_long(sizes)], names=["doc_id", "th", "node", "fp", "sig", "keys", "size"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    rows = shared(rows.mapInArrow(run, "doc_id long, th long, node long, fp long, sig binary, keys array<long>"))
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    rows = shared(raw.mapInArrow(run, "doc_id long, th long, node long, fp long, sig binary, keys array<long>, size long"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    nodes = shared(rows.groupBy("node").agg(F.min(own).alias("rep"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    labels = connected_components(link_forest(nodes, F.col("keys"), radius, shard_rows, similarity))
+    nodes = shared(rows.groupBy("node").agg(F.min(own).alias("rep"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("size").alias("size")))
+    groups = shared(connected_components(link_forest(nodes, F.col("keys"), radius, shard_rows, propose)).join(nodes, "node").select("label", "node", "size", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+    chunks = groups.groupBy("label").agg(F.ceil(F.sum("size") / chunk_shingles).cast("long").alias("chunks"))
+    texts = raw.join(groups.join(chunks, "label"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).dropDuplicates(["node"])
+    labels = connected_components(exact_links(texts, k, similarity))
     linked = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = linked.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("kept_id"), F.col("rep.th").alias("kept_th"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))

@@ -103,3 +103,32 @@ def test_signature_estimates(spark):
         sig = [np.frombuffer(simhash.signature(simhash.shingle_hashes(t, 5)), np.uint16) for t in (x, y)]
         assert abs(simhash.resemblance(sig[0], sig[1][None])[0] - exact) < 0.12
     assert xxhash.xxh64_intdigest(b"w0 w1 w2 w3 w4", 42) in simhash.shingle_hashes(b" ".join(a), 5).tolist()
+
+
+def kept_by_all_pairs(docs, least=0.8):
+    """Ids that stay if every pair of five-word shingle sets is compared."""
+    sets = {i: shingles(t) for i, t in docs}
+    group, pairs = {i: {i} for i in sets}, 0
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= least:
+                pairs += 1
+                if group[i] is not group[j]:
+                    group[i] |= group[j]
+                    for x in group[j]:
+                        group[x] = group[i]
+    return {min(g) for g in group.values()}, pairs
+
+
+@pytest.mark.parametrize("chunk_shingles", [1 << 20, 300])
+def test_links_are_exact(spark, chunk_shingles):
+    docs = []
+    for base in range(80):  # pairs of 0.75 to 0.85, where an estimate of the similarity decides by chance
+        words = [f"b{base}w{i}" for i in range(204)]
+        for n in range(3):
+            cut = 16 + (base + 7 * n) % 16
+            docs.append((len(docs), " ".join(words[: 204 - cut] + [f"b{base}v{n}x{i}" for i in range(cut)] if n else words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want, pairs = kept_by_all_pairs(docs)
+    got = {r.doc_id for r in simhash.keep_one(df, chunk_shingles=chunk_shingles).collect()}
+    assert 40 < pairs < 200 and got == want
