@@ -132,3 +132,12 @@ def test_links_are_exact(spark, chunk_shingles):
     want, pairs = kept_by_all_pairs(docs)
     got = {r.doc_id for r in simhash.keep_one(df, chunk_shingles=chunk_shingles).collect()}
     assert 40 < pairs < 200 and got == want
+
+
+def test_repeats_do_not_part_near_copies(spark):
+    docs = []
+    for base in range(20):  # one line of twelve words twice, and ninety times; every third pair differs by a word
+        rest, line = " ".join(f"b{base}w{i}" for i in range(100)), " ".join(f"b{base}l{i}" for i in range(12))
+        docs += [(2 * base, f"{rest} {line} {line}"), (2 * base + 1, f"{'' if base % 3 else 'x '}{rest}" + f" {line}" * 90)]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [2 * base for base in range(20)]
