@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,15 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame
         return df
     steps = 1 << 30
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(steps)) < F.lit(int(rows / n * steps)))
+
+
+def slices(batch, column: int, size: int = 1 << 20, rows: int = 1024):
+    """Slices of an Arrow batch of at most ``rows`` rows and about ``size`` bytes in a text column; a longer text
+    stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
