@@ -2,7 +2,8 @@
 
 Every round is a handful of joins and partial aggregates keyed by node, its result is checkpointed in
 the shared folder, and the loop ends when a round changes nothing; only a count and a digest of the
-edges reach the driver. A node of very high degree is a skewed join key, which adaptive execution splits.
+edges reach the driver. A node of very high degree is no join key: nodes of more than
+max(``HUB``, edges / 50,000) edges, so 100,000 at most, are broadcast with their least neighbour.
 """
 
 from __future__ import annotations
@@ -13,16 +14,26 @@ from pyspark.sql import functions as F
 from .common import shared
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+HUB = 512
+
+
+def _with_least(pairs: DataFrame, hub: int) -> DataFrame:
+    """``pairs`` (u, v) with m, the least v of each u; the pairs of a u that has over ``hub`` stay where they are."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.filter(F.col("n") > hub).select("u", "m"))
+    few = pairs.join(hubs, "u", "left_anti").join(least.filter(F.col("n") <= hub).select("u", "m"), "u")
+    return pairs.join(hubs, "u").unionByName(few)
+
+
+def _large_star(e: DataFrame, hub: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both, hub).filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    rest = e.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return rest.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+def _small_star(e: DataFrame, hub: int) -> DataFrame:
+    least = e.groupBy("a").agg(F.min("b").alias("b"))
+    rest = _with_least(e.select(F.col("a").alias("u"), F.col("b").alias("v")), hub).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return rest.unionAll(least).distinct()
 
 
 def _mark(e: DataFrame) -> tuple:
@@ -35,7 +46,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = shared(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _mark(e)
     while seen[0]:
-        e = shared(_small_star(_large_star(e)))
+        hub = max(HUB, seen[0] // 50_000)
+        e = shared(_large_star(e, hub))
+        e = shared(_small_star(e, hub))
         now = _mark(e)
         if now == seen:
             break

@@ -1,15 +1,16 @@
 """SimHash near-duplicates: 64-bit fingerprints linked within a Hamming radius through BK-trees.
 
-A fingerprint has a bit set where over half of the document's shingle hashes have it set. Two
-fingerprints that differ in at most ``radius`` bits agree on at least two of ``radius + 2`` bit blocks, so
-the distinct fingerprints are dealt into shards by (pair of blocks, their bits): every link lies inside
-some shard. Each shard gets a BK-tree, whose children are keyed by their Hamming distance to the parent;
-a query follows only edges within the radius of its own distance. A shard of more than ``shard_rows``
-fingerprints is cut into chunks and every pair of chunks becomes a task of its own, so no task holds more
-than two chunks and no link is lost. A task returns a spanning forest of its links, not the links.
-
-The trees are dealt by shuffle with the shards instead of being broadcast: all trees together grow with
-the corpus, and a broadcast would have no bound.
+A fingerprint has a bit set where over half of the document's shingle hashes have it set. Two fingerprints that
+differ in at most ``radius`` bits agree on one of ``radius + 1`` bit blocks, so the distinct fingerprints are dealt
+into shards by a block and its first bits, as many as leave about ``shard_rows`` fingerprints in a shard by their
+count: every link lies inside some shard. Each shard gets a BK-tree, whose children are keyed by their Hamming
+distance to the parent; a query follows only edges within the radius of its own distance. A shard that holds more
+than twice as many is dealt again by ``radius + 1`` blocks of its remaining bits; what is still larger is cut into
+chunks, and every pair of chunks becomes a task of its own, so no task holds more than two chunks and no link is
+lost. A task returns a spanning forest of its links, not the links.
+
+A tree goes to its queries by the shuffle that deals the shards. A broadcast passes through the driver, which would
+hold the fingerprints of all documents, and has no bound.
 
 Defined results: null and empty texts and texts without a word have fingerprint zero and link like any
 other; a null id stays null and never becomes a component id; repeated rows and ids are kept, copies share
@@ -18,7 +19,7 @@ a component; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared, table
+from .common import shared, slices, small, table
 from .components import connected_components
 
 SEED = 42
-LEAF = 16
 BINS = 128
-ROUTES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+#: odd multipliers that order hashes: the first half deals texts into shards, the second deals large shards again
+ROUTES = tuple(np.uint64(x) for x in (
+    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
+    0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x4CF5AD432745937F, 0x52DCE729DA3ED7E7,
+))
 
 
 def shingle_hashes(text: bytes, k: int = 4) -> np.ndarray:
@@ -87,7 +91,7 @@ def with_fingerprint(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_c
     """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             fps = np.array([fingerprint(t or b"", k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -95,36 +99,66 @@ def with_fingerprint(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def block_keys(fp: Column, radius: int) -> Column:
-    """Array of shard keys: one for each pair of the ``radius + 2`` blocks."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    part = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return F.array(*(F.xxhash64(F.lit(i * n + j), part[i], part[j]) for i, j in combinations(range(n), 2)))
-
-
-def tree_links(members: np.ndarray, queries: np.ndarray, radius: int):
-    """Yield (member index, query indexes within ``radius``) by walking a BK-tree over ``members``.
-
-    The tree is laid out breadth by breadth from the member list: the first of a node's list is the node,
-    the rest part by their distance to it. All queries descend together.
-    """
-    stack = [(np.arange(len(members)), np.arange(len(queries)))]
-    while stack:
-        mine, asked = stack.pop()
-        if len(mine) <= LEAF:
-            near = np.bitwise_count(members[mine][:, None] ^ queries[asked][None, :]) <= radius
-            for i, row in zip(mine.tolist(), near, strict=True):
-                yield i, asked[row]
-            continue
-        node, rest = int(mine[0]), mine[1:]
-        to_queries = np.bitwise_count(queries[asked] ^ members[node]).astype(np.int16)
-        yield node, asked[to_queries <= radius]
-        to_rest = np.bitwise_count(members[rest] ^ members[node]).astype(np.int16)
-        for d in np.unique(to_rest).tolist():
-            follow = asked[np.abs(to_queries - d) <= radius]
-            if len(follow):
-                stack.append((rest[to_rest == d], follow))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _masks(bits: list[int], parts: int, most: int = 64) -> list[int]:
+    """The first ``most`` of each of ``parts`` runs of bit places, as signed masks."""
+    cuts = [len(bits) * i // parts for i in range(parts + 1)]
+    return [_signed(sum(1 << b for b in bits[x:y][:most])) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def block_keys(fp: Column, radius: int, most: int) -> Column:
+    """Array of shard keys: the first ``most`` bits of each of ``radius + 1`` blocks; one key, if none."""
+    if not most:
+        return F.array(F.xxhash64(F.lit(0)))
+    return F.array(*(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(_masks([*range(64)], radius + 1, most))))
+
+
+def finer_block_keys(fp: Column, radius: int, most: int) -> Column:
+    """For each key of :func:`block_keys` an array of keys over ``radius + 1`` blocks of the bits it leaves."""
+    out = []
+    for m in _masks([*range(64)], radius + 1, most):
+        rest = [b for b in range(64) if not m >> b & 1]
+        out.append(F.array(*(F.xxhash64(F.lit(j), fp.bitwiseAND(F.lit(x))) for j, x in enumerate(_masks(rest, radius + 1)))))
+    return F.array(*out)
+
+
+class BkTree:
+    """A BK-tree over fingerprints in the order given: a node's children are keyed by their distance to it."""
+
+    def __init__(self, fps: np.ndarray):
+        self.fps = fps
+        self.children: list[list[tuple[int, int]]] = [[] for _ in range(len(fps))]
+        self.followed = 0  # edges followed so far, one for each query
+        groups = [np.arange(len(fps))] if len(fps) else []
+        while groups:
+            group = groups.pop()
+            node, rest = int(group[0]), group[1:]
+            to = np.bitwise_count(fps[rest] ^ fps[node])
+            order = np.argsort(to, kind="stable")
+            to, rest = to[order], rest[order]
+            cuts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(rest)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if z > a:
+                    self.children[node].append((int(to[a]), int(rest[a])))
+                    if z > a + 1:
+                        groups.append(rest[a:z])
+
+    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Yield (node, indexes of the queries within ``radius`` of it). All queries descend together, each along
+        the edges whose key is within ``radius`` of its distance to the node."""
+        stack = [(0, np.arange(len(queries)))] if len(self.fps) else []
+        while stack:
+            node, asked = stack.pop()
+            to = np.bitwise_count(queries[asked] ^ self.fps[node]).astype(np.int16)
+            yield node, asked[to <= radius]
+            for key, child in self.children[node]:
+                follow = asked[np.abs(to - key) <= radius]
+                if len(follow):
+                    self.followed += len(follow)
+                    stack.append((child, follow))
 
 
 def _forest(nodes: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int, sigs: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +167,7 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int,
     whole = first.all()
     base, asked = (np.arange(len(fps)), np.arange(len(fps))) if whole else (np.flatnonzero(first), np.flatnonzero(~first))
     label = np.arange(len(fps))
-    for i, near in tree_links(fps[base], fps[asked], radius):
+    for i, near in BkTree(fps[base]).near(fps[asked], radius):
         own = label[base[i]]
         at = asked[near]
         at = at[label[at] != own]  # links inside a component already found add nothing
@@ -146,19 +180,26 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int,
     return nodes[joined], nodes[label[joined]]
 
 
-def link_forest(nodes: DataFrame, keys: Column, radius: int, shard_rows: int, least: float | None = None) -> DataFrame:
+def _with_size(placed: DataFrame) -> DataFrame:
+    """Rows (node, key, ...) of shards of at least two, with the shard's size n."""
+    return placed.join(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+
+
+def link_forest(nodes: DataFrame, keys: Column, finer: Callable[[Column, Column], Column], radius: int, shard_rows: int, least: float | None = None) -> DataFrame:
     """Edges (a, b) whose connected components are those of all links that lie inside some shard.
 
     ``nodes`` has node (long, distinct), fp and, if ``least`` is given, sig; ``keys`` is an array of shard keys.
+    A shard of over 2 x ``shard_rows`` is dealt again by ``finer(route, key)``, an array of keys from the number of
+    the key in ``keys`` and the key. Only nodes and keys are shuffled until the shards of one are gone.
     """
     cols = ["node", "fp"] + ["sig"] * (least is not None)
-    keyed = nodes.select(*cols, F.explode(F.array_distinct(keys)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunk = F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks"))
+    placed = shared(_with_size(nodes.select("node", F.posexplode(keys).alias("route", "key"))))
+    large = placed.filter(F.col("n") > 2 * shard_rows).join(nodes, "node").select("node", F.explode(finer(F.col("route"), F.col("key"))).alias("key"))
+    dealt = placed.filter(F.col("n") <= 2 * shard_rows).select("node", "key", "n").unionByName(_with_size(large).select("node", "key", "n"))
     cells = (
-        keyed.join(sizes, "key")
-        .withColumn("chunks", F.ceil(F.col("n") / shard_rows).cast("long"))
-        .withColumn("chunk", chunk)
+        dealt.join(nodes.select(*cols), "node")
+        .withColumn("chunks", F.ceil(F.col("n") / (2 * shard_rows)).cast("long"))
+        .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", *cols)
     )
@@ -192,11 +233,13 @@ def link_forest(nodes: DataFrame, keys: Column, radius: int, shard_rows: int, le
     return cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicate_components(fps: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
+def near_duplicate_components(fps: DataFrame, radius: int = 4, shard_rows: int = 1024) -> DataFrame:
     """``fps`` (doc_id, fp) → (doc_id, fp, component_id): the least non-null id reachable over links."""
     fps = shared(fps)
     nodes = shared(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = connected_components(link_forest(nodes.select(F.col("fp").alias("node"), "fp"), block_keys(F.col("fp"), radius), radius, shard_rows))
+    most = max(0, (nodes.count() - 1) // shard_rows).bit_length()  # bits of a block that leave about shard_rows in a shard
+    finer = lambda route, key: F.transform(F.get(finer_block_keys(F.col("fp"), radius, most), route), lambda x: F.xxhash64(key, x))
+    labels = connected_components(link_forest(nodes.select(F.col("fp").alias("node"), "fp"), block_keys(F.col("fp"), radius, most), finer, radius, shard_rows))
     linked = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     return fps.join(linked.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -267,7 +310,7 @@ def exact_links(texts: DataFrame, k: int, similarity: float) -> DataFrame:
     return cells.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
-def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 26, shard_rows: int = 2048, propose: float = 0.65, chunk_shingles: int = 1 << 20) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 26, shard_rows: int = 1024, propose: float = 0.65, chunk_shingles: int = 1 << 20) -> DataFrame:
     """``docs`` (with doc_id and text) without near-duplicates: one row of each group stays, the one of the least id.
 
     Two texts are linked if they share ``similarity`` of their distinct ``k``-word shingles. Signatures only propose:
@@ -278,38 +321,54 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int =
     The fingerprint here is over distinct shingles, as the similarity is. At 0.8 about 10 bits differ, 12 for a few
     shingles; a pair of that similarity lies beyond 26 with a chance of 2e-7 for long texts and 1.3e-5 at worst (sets
     of 4 and 5). Bit blocks are no use at such a radius; instead a text goes to the shards of its least shingle hashes
-    under six multipliers, where two texts of that similarity miss each other in all six with a chance of 0.2^6.
-    Texts without a word are one group. Null ids come last in order.
+    under six multipliers, where two texts of that similarity miss each other in all six with a chance of 0.2^6. A
+    large shard, of a shingle that very many texts hold, is dealt again by six more; a pair misses there with the same
+    chance. Texts without a word are one group. Null ids come last in order.
+
+    Rows that agree in id and text are one document. Columns of ``docs`` keep their names and values whatever they are.
     """
+    half = len(ROUTES) // 2
 
     def run(batches):
-        for b in batches:
-            nodes, fps, sigs, keys, sizes = [], [], [], [], []
-            for t in b.column(2).to_pylist():
-                some = np.unique(shingle_hashes(t or b"", k))
-                fps.append(majority(some))
-                sigs.append(signature(some))
-                with np.errstate(over="ignore"):
-                    keys.append([int((some * m).min().view(np.int64)) for m in ROUTES] if len(some) else [0])
-                nodes.append(xxhash.xxh64_intdigest(some.tobytes()))  # texts with the same shingles are one node
-                sizes.append(len(some))
-            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_long(nodes), as_long(fps), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), as_long(sizes)], names=["doc_id", "th", "node", "fp", "sig", "keys", "size"])
+        for batch in batches:
+            for b in slices(batch, 3):
+                nodes, fps, sigs, keys, more, sizes = [], [], [], [], [], []
+                for t in b.column(3).to_pylist():
+                    some = np.unique(shingle_hashes(t or b"", k))
+                    fps.append(majority(some))
+                    sigs.append(signature(some))
+                    with np.errstate(over="ignore"):
+                        least = [int((some * m).min().view(np.int64)) for m in ROUTES] if len(some) else [0] * len(ROUTES)
+                    keys.append(least[:half])
+                    more.append(least[half:])
+                    nodes.append(xxhash.xxh64_intdigest(some.tobytes()))  # texts with the same shingles are one node
+                    sizes.append(len(some))
+                as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                longs = pa.list_(pa.int64())
+                cols = [*b.columns[:3], as_long(nodes), as_long(fps), pa.array(sigs, pa.binary()), pa.array(keys, longs), pa.array(more, longs), as_long(sizes)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k1", "k2", "node", "fp", "sig", "keys", "more", "size"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-    rows = shared(raw.mapInArrow(run, "doc_id long, th long, node long, fp long, sig binary, keys array<long>, size long"))
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    nodes = shared(rows.groupBy("node").agg(F.min(own).alias("rep"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("size").alias("size")))
-    groups = shared(connected_components(link_forest(nodes, F.col("keys"), radius, shard_rows, propose)).join(nodes, "node").select("label", "node", "size", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")))
+    own_id = F.col("doc_id").cast("long")
+    # a row's id and text in 128 bits
+    keys = [F.xxhash64(F.lit(i), own_id.isNull(), F.coalesce(own_id, F.lit(0)), text).alias(f"k{i}") for i in (1, 2)]
+    raw = docs.select(own_id.alias("doc_id"), *keys, text.cast("binary").alias("text"))
+    rows = shared(raw.mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, sig binary, keys array<long>, more array<long>, size long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    nodes = shared(rows.groupBy("node").agg(F.min(order).alias("rep"), *(F.first(c).alias(c) for c in ("fp", "sig", "keys", "more", "size"))))
+    seeded = F.transform("keys", lambda x, i: F.xxhash64(i, x))
+    finer = lambda route, key: F.transform("more", lambda x, j: F.xxhash64(key, j, x))
+    proposed = connected_components(link_forest(nodes, seeded, finer, radius, shard_rows, propose))
+    groups = shared(proposed.join(nodes, "node").select("label", "node", "size", F.col("rep.k1").alias("k1"), F.col("rep.k2").alias("k2")))
     chunks = groups.groupBy("label").agg(F.ceil(F.sum("size") / chunk_shingles).cast("long").alias("chunks"))
-    texts = raw.join(groups.join(chunks, "label"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).dropDuplicates(["node"])
+    wanted = shared(groups.join(chunks, "label").select("label", "chunks", "node", "k1", "k2"))
+    texts = raw.join(small(wanted, 40), ["k1", "k2"]).dropDuplicates(["node"])
     labels = connected_components(exact_links(texts, k, similarity))
     linked = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    kept = linked.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.doc_id").alias("kept_id"), F.col("rep.th").alias("kept_th"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_th"))
-    # rows that agree in id and text are one document; only one of them stays
-    return docs.join(kept, same).dropDuplicates(["kept_id", "kept_th"]).drop("kept_id", "kept_th")
+    kept = linked.groupBy("label").agg(F.min("rep").alias("rep")).select(F.col("rep.k1").alias("_kept1"), F.col("rep.k2").alias("_kept2"))
+    whole = docs.select(keys[0].alias("_kept1"), keys[1].alias("_kept2"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    # the rows meet their key once: the second exchange would be by the same columns
+    return whole.join(kept, ["_kept1", "_kept2"], "left_semi").dropDuplicates(["_kept1", "_kept2"]).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,23 @@ def test_repeats_do_not_part_near_copies(spark):
         docs += [(2 * base, f"{rest} {line} {line}"), (2 * base + 1, f"{'' if base % 3 else 'x '}{rest}" + f" {line}" * 90)]
     kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2 * base for base in range(20)]
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", 1, "p"), (2, "A b c d e f", "y", 2, "q"), (3, "other words stand in this one", "z", 3, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, k1 int, node string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+
+
+def test_hot_shingles_lose_no_link(spark):
+    """A passage that all documents share makes their least shingles agree; shards of it are dealt again."""
+    shared = " ".join(f"s{i}" for i in range(400))
+    docs = []
+    for base in range(60):
+        own = [f"b{base}w{i}" for i in range(60)]
+        docs.append((2 * base, shared + " " + " ".join(own)))
+        docs.append((2 * base + 1, shared + " " + " ".join([*own[:-3], "x", "y", "z"])))
+    want, _ = kept_by_all_pairs(docs)
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), shard_rows=4).collect()}
+    assert got == want
