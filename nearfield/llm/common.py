@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder all executors share and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests, local mode)
-    is a temporary one made.
+    The folder is the session's ``spark.checkpoint.dir``; only in local mode, where none is set, is a temporary one made.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="nearfield-ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -32,15 +34,11 @@ def crc_mod(doc_id, n: int):
     return F.crc32(doc_id.cast("string")) % F.lit(n)
 
 
-def text_of(df: DataFrame, col: str = "text"):
-    """The text column with null read as empty."""
-    return F.coalesce(df[col].cast("string"), F.lit(""))
-
-
-def small(df: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20) -> DataFrame:
-    """Hint a broadcast of an already materialised ``df`` if its counted rows fit ``limit_bytes``;
-    a larger one is returned as it is and joined by a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit_bytes else df
+def small(df: DataFrame, row_bytes: int | Column, limit_bytes: int = 8 << 20) -> DataFrame:
+    """Hint a broadcast of an already materialised ``df`` if the sum of ``row_bytes``, a number or a column, fits
+    ``limit_bytes``; a larger one is returned as it is and joined by a shuffle."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= limit_bytes else df
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Every k-gram of a document's words is hashed (k = 3) and joined in Spark with the hashed k-grams of the
 templates; a hit at document word p and template word t votes for the diagonal p - t. Votes are summed by
-(document, template, diagonal), diagonals that differ by at most ``slack`` are merged to a candidate span,
-and spans with enough votes are verified against the words themselves: a base phrase must stand there word
-by word; any other span needs a longest common subsequence of ``least_match`` of its template's words.
+(document, template, diagonal), diagonals that differ by at most ``slack`` are merged to a run, runs that stand within
+a template's length of each other to a candidate span, and spans with enough votes are verified against the words
+themselves: a base phrase and a template of under ``SHORT`` words must stand there word by word; any other needs a
+longest common subsequence of ``least_match`` of its words, in a stretch of which it is at least ``least_share``. Where
+verified spans overlap, only the one most like its stretch keeps its label.
 
 The template table is a fixed list (a few thousand k-grams), so it is broadcast. Candidate spans, a small
 table, go back to the documents by a broadcast if their counted bytes are under 8 MB, else by a join.
@@ -18,6 +20,7 @@ length are scanned whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +33,7 @@ from .common import shared, small, table
 from .license_templates import BASE, TEMPLATES
 
 K = 3
+SHORT = 20
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: words of UTF-8 text in lower case: digits, a-z and every byte of a character beyond ASCII
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -106,7 +110,13 @@ def candidate_spans(docs: DataFrame, slack: int = 3, least_votes: float = 0.3) -
     line = Window.partitionBy("doc_id", "k1", "k2", "tpl").orderBy("diag")
     fresh = F.col("base") | F.coalesce(F.col("diag") - F.lag("diag").over(line) > slack, F.lit(True))
     runs = votes.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(line))
-    spans = runs.groupBy("doc_id", "k1", "k2", "tpl", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.first("base").alias("base"), F.first("grams").alias("grams"))
+    runs = runs.groupBy("doc_id", "k1", "k2", "tpl", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("first"), F.max("hi").alias("last"), F.first("base").alias("base"), F.first("grams").alias("grams"))
+    # text put in between the lines of a license parts its diagonal; what stands near together is one candidate
+    along = Window.partitionBy("doc_id", "k1", "k2", "tpl").orderBy("first", "run")
+    reach = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)) + F.col("grams")
+    apart = F.col("base") | F.coalesce(F.col("first") > reach, F.lit(True))
+    spans = runs.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along))
+    spans = spans.groupBy("doc_id", "k1", "k2", "tpl", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("base").alias("base"), F.first("grams").alias("grams"))
     enough = F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(F.col("votes") >= F.greatest(F.lit(1.0), least_votes * F.col("grams")))
     return spans.filter(enough).select("doc_id", "k1", "k2", F.struct("tpl", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last")).alias("span"))
 
@@ -125,9 +135,26 @@ def common_words(a: list[bytes], b: list[bytes]) -> int:
     return len(b) - row.bit_count()
 
 
-def verify(words: list[bytes], spans: list[dict], least_match: float) -> tuple[list[int], set[str], set[str], float]:
+def stretch(words: list[bytes], tpl: list[bytes]) -> tuple[int, int, int]:
+    """(length of the longest common subsequence, first word, end) of the shortest stretch found that has it whole."""
+    most = common_words(words, tpl)
+    lo, hi = 0, len(words)  # the last start, then the first end, that leave it whole
+    a, z = 0, len(words)
+    while a < z:
+        mid = (a + z + 1) // 2
+        a, z = (mid, z) if common_words(words[mid:], tpl) == most else (a, mid - 1)
+    lo = a
+    a, z = lo, len(words)
+    while a < z:
+        mid = (a + z) // 2
+        a, z = (a, mid) if common_words(words[lo:mid], tpl) == most else (mid + 1, z)
+    return most, lo, a
+
+
+def verify(words: list[bytes], spans: list[dict], least_match: float, least_share: float = 0.6) -> tuple[list[int], set[str], set[str], float]:
     """Places of base phrases, base labels, all labels and the best match among verified spans."""
     places, base_labels, labels, best = [], set(), set(), 0.0
+    found = []
     for s in spans:
         label, base, tpl = template_list()[s["tpl"]]
         if base:
@@ -137,9 +164,21 @@ def verify(words: list[bytes], spans: list[dict], least_match: float) -> tuple[l
                 labels.add(label)
                 best = 1.0
             continue
-        near = words[max(0, s["first"] - len(tpl)) : s["last"] + K + len(tpl)] if s["last"] + K - s["first"] < len(tpl) else words[s["first"] : s["last"] + K]
-        match = common_words(near, tpl) / len(tpl)
-        if match >= least_match:
+        lo = max(0, s["first"] - len(tpl))
+        near = words[lo : s["last"] + K + len(tpl)]
+        if len(tpl) < SHORT:
+            found += [(1.0, 1.0, lo + i, lo + i + len(tpl), label) for i in range(len(near) - len(tpl) + 1) if near[i : i + len(tpl)] == tpl]
+            continue
+        match, a, z = stretch(near, tpl)
+        alike = 2 * match / (len(tpl) + z - a)
+        if match >= least_match * len(tpl) and alike >= least_share:
+            found.append((alike, match / len(tpl), lo + a, lo + z, label))
+    starts, ends = [], []  # of the spans taken, in order; none overlaps another
+    for _, match, a, z, label in sorted(found, key=lambda f: (-f[0], -(f[3] - f[2]), f[2:])):
+        i = bisect_left(starts, a)
+        if (i == len(starts) or z <= starts[i]) and (i == 0 or ends[i - 1] <= a):
+            starts.insert(i, a)
+            ends.insert(i, z)
             labels.add(label)
             best = max(best, match)
     return places, base_labels, labels, best
@@ -150,7 +189,7 @@ def scan(docs: DataFrame, least_match: float = 0.8) -> DataFrame:
     spans = shared(candidate_spans(docs).groupBy("doc_id", "k1", "k2").agg(F.sort_array(F.collect_list("span")).alias("spans")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*key_of(F.col("doc_id"), text), text.cast("binary").alias("b"))
-    s = small(spans, 200).toDF("s_id", "s1", "s2", "spans")
+    s = small(spans, 64 + 16 * F.size("spans")).toDF("s_id", "s1", "s2", "spans")
     joined = rows.join(s, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select("doc_id", "b", "spans")
 
     def run(batches):

@@ -61,3 +61,29 @@ def test_common_words():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         assert ls.common_words(a, b) == best[-1][-1]
+
+
+def test_no_other_labels(spark):
+    """Notices near a template's wording get their own label and no other."""
+    docs = [
+        ("Released under the BSD License.", ""),
+        ("This is released under the Apache License by all.", ""),
+        ("Licensed under CC BY-SA 4.0.", ""),
+        ("Licensed under CC BY-ND 4.0.", ""),
+        ("Released under the MIT License.", "mit"),
+        ("Permission to use the software is granted without charge, including the rights to copy and publish.", ""),
+    ]
+    docs += [(t, label) for label, ts in TEMPLATES.items() for t in ts]
+    lines = TEMPLATES["mit"][0].split()
+    parted = " ".join(" ".join(lines[i : i + 12]) + " page header four words" for i in range(0, len(lines), 12))
+    docs += [(parted, "mit"), (" ".join(TEMPLATES["mit"][:2]) + " " + TEMPLATES["bsd-3-clause"][0], "bsd-3-clause,mit")]
+    df = spark.createDataFrame([(i, f"Some words before. {t} And some words after.") for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in ls.scan(df).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(docs)}
+
+
+def test_stretch():
+    tpl = [b"%d" % i for i in range(30)]
+    words = [b"x"] * 40 + tpl[:10] + [b"y"] * 5 + tpl[10:] + [b"z"] * 9
+    assert ls.stretch(words, tpl) == (30, 40, 75)
+    assert ls.stretch([], tpl) == (0, 0, 0)
