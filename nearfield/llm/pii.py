@@ -4,11 +4,15 @@ The network reads windows of ``WINDOW`` characters in both directions and a line
 sequences (outside, email, ip, card, phone). It is trained here in numpy from labelled spans: base spans of
 a bounded sample of documents, and spans put into that sample's prose by :func:`labelled_window` in forms
 the patterns miss (numbers without a plus sign, separated card numbers, failing check digits), beside
-number strings that are no personal data (dates, prices, versions, hex). Windows start every ``STEP`` characters;
-each is decoded by Viterbi, every character takes the tag of the window in whose middle it stands (with
-``MARGIN`` characters on either side, more than a card number has), and runs of one tag become spans, across windows. A span of the network needs a digit or an at sign, the
-digit counts of its kind, and no overlap with a base span; so windows without a digit or at sign are not
-decoded, which changes no result.
+number strings that are no personal data (dates, prices, versions, hex). Windows start every ``STEP`` characters, so
+that two or three hold each character, and each is decoded by Viterbi. Globally every window votes for the tags of its
+characters, with more weight the nearer they stand to its middle; a character takes the tag with the most votes, and
+runs of one tag become spans.
+
+A span of the network needs a digit or an at sign, the digit counts of its kind, and no overlap with a base span. A
+character can belong to one only if it is within ``REACH`` characters of a digit or at sign, or in the run of other
+than white space on either side of an at sign, up to ``LONGEST`` characters (:func:`near_signs`); all others are
+outside any span. So windows that hold none of these characters have no say, and are not decoded.
 
 Defined results: null and empty texts have no spans; offsets are code points of the whole text, end
 exclusive; documents of any length are read whole; rows are independent, so null or repeated ids and
@@ -19,7 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, table
+from .common import hash_sample, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 64, 24
 MARGIN = (WINDOW - STEP) // 2
+REACH, LONGEST = 24, 320
+#: a window's vote for the tag of its i-th character
+VOTE = 1.0 + np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
 HIDDEN = 12
 TAGS = 1 + len(KINDS)
 Span = tuple[str, int, int]
@@ -211,69 +220,113 @@ class Tagger:
             out[t - 1] = came[t][out[t], np.arange(width)]
         return out
 
-    def tags(self, texts: list[str]) -> list[dict[int, np.ndarray]]:
-        """For each text, tags of its characters by start of their middle part; only around digits and at signs."""
-        blocks, places = [], []
-        out: list[dict[int, np.ndarray]] = [{} for _ in texts]
-        for k, text in enumerate(texts):
+    def tags(self, texts: list[str], everywhere: bool = False) -> list[np.ndarray | None]:
+        """For each text the tags of its characters, None for outside throughout. ``everywhere`` decodes all windows,
+        also those without a say."""
+        blocks, places, held = [], [], []
+        for text in texts:
             if not SIGN.search(text):
+                held.append(None)
                 continue
             x = codes(text)
-            # parts of STEP characters with a sign, and their neighbours, need tags; a part is the middle of its window
-            parts = {int(h) + d for h in np.unique(np.flatnonzero(((x >= 48) & (x <= 57)) | (x == 64)) // STEP) for d in (-1, 0, 1)}
+            near = near_signs(text, x)
+            at = (np.flatnonzero(near) + MARGIN) // STEP
+            most = (len(x) - 1) // STEP
+            hs = np.arange(most + 1) if everywhere else np.unique(np.concatenate([at - d for d in range((WINDOW - 1) // STEP + 1)]))
+            hs = hs[(hs >= 0) & (hs <= most)]
             padded = np.pad(x, (MARGIN, 2 * WINDOW), constant_values=32)
-            for h in sorted(parts):
-                if 0 <= h * STEP < len(x):
-                    blocks.append(padded[h * STEP : h * STEP + WINDOW])
-                    places.append((k, h * STEP))
-        for at in range(0, len(blocks), 1024):
-            got = self.decode(np.stack(blocks[at : at + 1024], axis=1))
-            for j, (k, start) in enumerate(places[at : at + 1024]):
-                out[k][start] = got[MARGIN : MARGIN + STEP, j]
+            blocks += [padded[h * STEP : h * STEP + WINDOW] for h in hs.tolist()]
+            places.append(hs)
+            held.append(near)
+        got = [self.decode(np.stack(blocks[at : at + 1024], axis=1)) for at in range(0, len(blocks), 1024)]
+        got = np.concatenate(got, axis=1).T if got else np.zeros((0, WINDOW), np.int8)
+        out: list[np.ndarray | None] = []
+        done = 0
+        each = iter(places)
+        for near in held:
+            if near is None:
+                out.append(None)
+                continue
+            hs = next(each)
+            out.append(voted(got[done : done + len(hs)], hs * STEP - MARGIN, near))
+            done += len(hs)
         return out
 
 
+def near_signs(text: str, x: np.ndarray) -> np.ndarray:
+    """Which characters (of classes ``x``) can belong to a span of the network."""
+    n = len(x)
+    edge = np.zeros(n + 1, np.int64)
+
+    def mark(a: np.ndarray, z: np.ndarray) -> None:
+        np.add.at(edge, np.maximum(0, a), 1)
+        np.add.at(edge, np.minimum(n, z), -1)
+
+    signs = np.flatnonzero(((x >= 48) & (x <= 57)) | (x == 64))
+    mark(signs - REACH, signs + REACH + 1)
+    ats = np.flatnonzero(x == 64)
+    if len(ats):
+        space = ((x >= 9) & (x <= 13)) | ((x >= 28) & (x <= 32))
+        space[[i for i in np.flatnonzero(x == 129).tolist() if text[i].isspace()]] = True
+        where = np.arange(n)
+        before = np.append(-1, np.maximum.accumulate(np.where(space, where, -1)))  # the last white space before a place
+        after = np.append(np.minimum.accumulate(np.where(space, where, n)[::-1])[::-1], n)  # the first from a place on
+        left = ats - (x[ats - 1] == 32) * (ats > 0)
+        right = np.minimum(n, ats + 1)
+        right = right + (np.append(x, 0)[right] == 32)
+        mark(np.maximum(before[left] + 1, ats - LONGEST), ats)
+        mark(ats, np.minimum(after[np.minimum(n, right)], ats + LONGEST))
+    return edge[:-1].cumsum() > 0
+
+
+def voted(got: np.ndarray, starts: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Tags by the votes of windows (rows of tags and where they start) for the characters in ``near``; ties and
+    characters without a window go to the lower tag."""
+    number = np.cumsum(near) - 1
+    at = starts[:, None] + np.arange(WINDOW)
+    valid = (at >= 0) & (at < len(near))
+    valid[valid] = near[at[valid]]
+    weight = np.broadcast_to(VOTE, at.shape)[valid]
+    votes = np.bincount(number[at[valid]] * TAGS + got[valid], weight, int(near.sum()) * TAGS)
+    out = np.zeros(len(near), np.int8)
+    out[near] = votes.reshape(-1, TAGS).argmax(axis=1)
+    return out
+
+
 #: Digit counts a span of the network may have, by kind.
 PLAUSIBLE = {"email": (0, 99), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 
 
-def reconcile(text: str, tags: dict[int, np.ndarray], base: list[Span]) -> list[Span]:
-    """Spans from the tags of all windows of a text, joined where they meet, without those that touch a base span."""
+def reconcile(text: str, tags: np.ndarray | None, base: list[Span]) -> list[Span]:
+    """Spans from the tags of a text's characters, without those that touch a base span."""
+    if tags is None:
+        return []
     out: list[Span] = []
-    taken = sorted((a, z) for _, a, z in base)
-    held, start = 0, 0
-
-    def close(end: int) -> None:
+    # base spans of different kinds may overlap: how far any that starts before reaches
+    starts = sorted(a for _, a, _ in base)
+    reach = list(accumulate((z for _, _, z in sorted(base, key=lambda s: s[1])), max))
+    cuts = [0, *(np.flatnonzero(np.diff(tags)) + 1).tolist(), len(tags)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        held = int(tags[a]) if z > a else 0
         if not held:
-            return
-        kind, a, z = KINDS[held - 1], start, min(end, len(text))
+            continue
+        kind = KINDS[held - 1]
         while a < z and not (text[a].isalnum() or text[a] in "+("):
             a += 1
         while z > a and not text[z - 1].isalnum():
             z -= 1
         part = text[a:z]
         low, high = PLAUSIBLE[kind]
-        ok = len(part) <= 320 and SIGN.search(part) and low <= len(_digits(part)) <= high and (kind == "email") == ("@" in part)
+        ok = len(part) <= LONGEST and SIGN.search(part) and low <= len(_digits(part)) <= high and (kind == "email") == ("@" in part)
         if kind == "email":
             ok = ok and re.fullmatch(r"\S+ ?@ ?\S*[^\s.]\.\S+", part)
         elif kind == "ip":
             ok = ok and re.fullmatch(r"[0-9]{1,3}(?:[ ]?\.[ ]?[0-9]{1,3}){3}", part)
         else:
             ok = ok and re.fullmatch(r"[+(]?[0-9][\x20()./0-9-]*[0-9]", part)
-        if ok and not any(x < z and a < y for x, y in taken) and not (a and text[a - 1].isalnum()) and not (z < len(text) and text[z].isalnum()):
+        before = bisect_left(starts, z)  # base spans that start before this one ends
+        if ok and not (before and reach[before - 1] > a) and not (a and text[a - 1].isalnum()) and not (z < len(text) and text[z].isalnum()):
             out.append((kind, a, z))
-
-    expect = None
-    for at in sorted(tags):
-        if at != expect:
-            close(expect or 0)
-            held = 0
-        for i, g in enumerate(tags[at].tolist()):
-            if g != held:
-                close(at + i)
-                held, start = g, at + i
-        expect = at + STEP
-    close(expect or 0)
     return out
 
 
@@ -384,8 +437,7 @@ def _each(docs: DataFrame, keep: list[str], fields: list[T.StructField], train_d
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for part in slices(b, at):
                 texts = part.column(at).to_pylist()
                 made = [make(t, base, added) for t, (base, added) in zip(texts, find_spans(net.value, texts), strict=True)]
                 cols = [pa.array(c) for c in zip(*made, strict=True)]

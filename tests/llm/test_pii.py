@@ -107,3 +107,64 @@ def test_odd_rows(spark):
     got = sorted((r.n_email, r.doc_id or 0) for r in pii.scan(df).collect())
     assert got == [(0, 0), (0, 1), (1, 3), (3000, 3)]
     assert pii.scan(df.limit(0)).count() == 0
+
+
+def plain_near(text):
+    out = [False] * len(text)
+    for i, c in enumerate(text):
+        if c in "0123456789@":
+            for j in range(max(0, i - 24), min(len(text), i + 25)):
+                out[j] = True
+        if c == "@":
+            a = i - (text[i - 1 : i] == " ")
+            while a > max(0, i - 320) and not text[a - 1].isspace():
+                a -= 1
+            z = i + 1 + (text[i + 1 : i + 2] == " ")
+            while z < min(len(text), i + 320) and not text[z].isspace():
+                z += 1
+            out[min(a, i) : max(z, i + 1)] = [True] * (max(z, i + 1) - min(a, i))
+    return out
+
+
+def odd_texts(rng):
+    long = "".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = [f"some words {long} @ {long}.{long}.org and more", f"{long * 7} @ host.org 12", "x@y", "@", " @ ", "1", "a" * 100 + "7" + "b" * 100, "(555) 123-4567"]
+    for alphabet in ("ab @.1", "abcdefghé \n1@", "0123456789 -().+ab@", "\xa0a@1 "):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 500))) for _ in range(60)]
+    return texts
+
+
+def test_places_near_signs():
+    for t in odd_texts(random.Random(3)):
+        if pii.SIGN.search(t):
+            assert pii.near_signs(t, pii.codes(t)).tolist() == plain_near(t), t
+
+
+def test_windows_left_out_have_no_say(tagger):
+    """The same spans as with every window decoded, and the votes of all windows counted one by one."""
+    for t in odd_texts(random.Random(4)):
+        (some,), (whole,) = tagger.tags([t]), tagger.tags([t], everywhere=True)
+        base = pii.base_spans(t)
+        if some is None:
+            assert whole is None and not pii.reconcile(t, some, base)
+            continue
+        assert (some == whole).all() and pii.reconcile(t, some, base) == pii.reconcile(t, whole, base)
+        x, votes = pii.codes(t), np.zeros((len(t), pii.TAGS))
+        for h in range((len(t) - 1) // pii.STEP + 1):
+            start = h * pii.STEP - pii.MARGIN
+            block = np.array([x[i] if 0 <= i < len(t) else 32 for i in range(start, start + pii.WINDOW)])
+            for i, tag in enumerate(tagger.decode(block[:, None])[:, 0].tolist()):
+                if 0 <= start + i < len(t):
+                    votes[start + i, tag] += 1 + min(i, pii.WINDOW - 1 - i)
+        want = np.where(plain_near(t), votes.argmax(axis=1), 0)
+        assert (some == want).mean() > 0.99  # sums of windows decoded apart may differ in the last bit
+
+
+def test_added_spans_touch_no_base_span():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("12345678 .-") for _ in range(120))
+        tags = np.array([rng.choice([0, 0, 2, 3, 4, 4]) for _ in range(12)], np.int8).repeat(10)
+        base = [("ip", a, a + rng.randrange(1, 30)) for a in rng.sample(range(100), rng.randrange(5))]
+        free = pii.reconcile(text, tags, [])
+        assert pii.reconcile(text, tags, base) == [s for s in free if not any(x < s[2] and s[1] < z for _, x, z in base)]
