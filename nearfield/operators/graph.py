@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,19 +23,31 @@ def dangling(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(edges.select(F.col("src").alias("v")).distinct(), "v", "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a temporary folder is seen by all."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the folder of ``spark.checkpoint.dir`` and cut its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not is_local(df.sparkSession):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="nearfield-"))
     return df.checkpoint(eager=True)
 
 
 def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = 0.85, max_iter: int = 20, max_err: float = 0.0, cut_every: int = 5) -> tuple[DataFrame, int]:
     """(v, rank) and the rounds used. Each round: alpha A r + (1 - alpha) / N + alpha / N times the dangling mass;
     ends when the squared change is at most ``max_err`` (if over 0) or after ``max_iter`` rounds."""
+    vertices = cut(vertices.select("v"))
     n = vertices.count()
-    w = _cut(weighted(edges.select("src", "dst")))
-    loose = _cut(dangling(edges, vertices).withColumn("_loose", F.lit(True)))
+    edges = cut(edges.select("src", "dst"))  # computed once; weights and dangling vertices both come from here
+    w = cut(weighted(edges).repartition("src"))
+    loose = cut(dangling(edges, vertices).withColumn("_loose", F.lit(True)))
     r = vertices.select("v", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(1, max_iter + 1):
         mass = r.join(loose, "v").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("_mass"))
@@ -43,7 +55,7 @@ def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = 0.85, max_ite
         new = vertices.join(flow, vertices.v == flow.dst, "left").crossJoin(mass)
         new = new.select("v", (F.lit(alpha) * F.coalesce("_in", F.lit(0.0)) + F.lit((1 - alpha) / n) + F.lit(alpha / n) * F.col("_mass")).alias("rank"))
         if i % cut_every == 0 or max_err > 0:
-            new = _cut(new)
+            new = cut(new)
         if max_err > 0:
             err = new.join(r.withColumnRenamed("rank", "_old"), "v").agg(F.sum(F.pow(F.col("rank") - F.col("_old"), 2))).first()[0]
             if err is not None and err <= max_err:

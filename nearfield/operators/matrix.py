@@ -99,12 +99,15 @@ def packet_segments(coo: DataFrame, parts: int, packet: int, rows: int | None =
     upto counts the packet's entries up to and with this run; starts tells whether the row begins here.
     """
     n = num_rows(coo) if rows is None else rows
-    w = Window.partitionBy("part").orderBy("row", "col", "val")
-    at = with_part(coo, n, parts).withColumn("packet", F.floor((F.row_number().over(w) - 1) / packet))
-    runs = at.groupBy("part", "packet", "row").agg(F.count("*").alias("entries"))
-    inside = Window.partitionBy("part", "packet").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    first = Window.partitionBy("part", "row")
-    return runs.withColumn("upto", F.sum("entries").over(inside)).withColumn("starts", F.col("packet") == F.min("packet").over(first))
+    # a row's place in its part follows from the degrees before it; no window goes over a part's entries
+    degrees = with_part(running_sum(coo.groupBy("row").agg(F.count("*").alias("degree")), "row", "degree", "ptr"), n, parts)
+    first = degrees.groupBy("part").agg(F.min("ptr").alias("_first"))
+    at = degrees.join(first, "part").withColumn("_from", F.col("ptr") - F.col("_first")).withColumn("_to", F.col("_from") + F.col("degree"))
+    p = F.lit(packet)
+    runs = at.select("part", "row", "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") / p), F.floor((F.col("_to") - 1) / p))).alias("packet"))
+    begin = F.col("packet") * p
+    upto = F.least(F.col("_to"), begin + p) - begin
+    return runs.select("part", "packet", "row", (upto - F.greatest(F.col("_from") - begin, F.lit(0))).alias("entries"), upto.alias("upto"), (begin <= F.col("_from")).alias("starts"))
 
 
 def ones(coo: DataFrame) -> DataFrame:

@@ -2,14 +2,50 @@
 
 from __future__ import annotations
 
+import math
+from functools import cache
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom, then beyond.
-T_95 = (
-    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
-    2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042, 1.960,
-)
+EXACT_DEGREES = 100
+
+
+def student_share(t: float, degrees: int) -> float:
+    """Share of Student's t within -t and t, by the finite sum for whole degrees of freedom."""
+    angle = math.atan(t / math.sqrt(degrees))
+    c, sine = math.cos(angle), math.sin(angle)
+    odd = degrees % 2
+    term, total = (c, 0.0) if odd else (1.0, 0.0)
+    for k in range(odd, degrees - 1, 2):
+        total += term
+        term *= c * c * (k + 1) / (k + 2)
+    return 2 / math.pi * (angle + sine * total) if odd else sine * total
+
+
+@cache
+def student_quantiles(level: float) -> tuple[float, ...]:
+    """Two-sided quantiles of Student's t for 1 to ``EXACT_DEGREES`` degrees of freedom."""
+    out = []
+    for n in range(1, EXACT_DEGREES + 1):
+        low, high = 0.0, 1.0
+        while student_share(high, n) < level:
+            high *= 2
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if student_share(middle, n) < level else (low, middle)
+        out.append((low + high) / 2)
+    return tuple(out)
+
+
+def student_quantile(degrees: Column, level: float = 0.95) -> Column:
+    """Two-sided quantile of Student's t; beyond ``EXACT_DEGREES`` by its series in 1 / degrees, exact to 1e-10."""
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    terms = (z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    series = sum((F.lit(c) / F.pow(degrees.cast("double"), F.lit(float(i))) for i, c in enumerate(terms)), F.lit(0.0))
+    exact = F.get(F.lit(list(student_quantiles(level))), (degrees - 1).cast("int"))
+    return F.when(degrees <= EXACT_DEGREES, exact).otherwise(series)
 
 
 def geometric_mean(c: Column) -> Column:
@@ -35,7 +71,7 @@ def warm_mean(df: DataFrame, value: str, iteration: str, skip: int, by: list[str
 def confidence(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, mean, lower, upper): 95 % interval of the mean by Student's t; null bounds for a single row."""
     s = df.groupBy(*by).agg(F.count(value).alias("_n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
-    t = F.element_at(F.array(*map(F.lit, T_95)), F.least(F.greatest(F.col("_n") - 1, F.lit(1)), F.lit(len(T_95))).cast("int"))
+    t = student_quantile(F.greatest(F.col("_n") - 1, F.lit(1)))
     half = F.when(F.col("_n") > 1, t * F.col("_s") / F.sqrt(F.col("_n").cast("double")))
     return s.select(*by, "mean", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
 

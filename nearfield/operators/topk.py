@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .matrix import packet_segments, with_part
 
 
@@ -57,6 +58,19 @@ def with_rank(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
+def rank_all(df: DataFrame) -> DataFrame:
+    """Adds rank from 1 to any number of rows: sorted by ranges, numbered in each range, and moved on by the sizes of
+    the ranges before, a row for each partition."""
+    line = F.monotonically_increasing_id()
+    parts = cut(df.repartitionByRange(F.desc("score"), F.desc("row")).sortWithinPartitions(F.desc("score"), F.desc("row")).withColumn("_line", line))
+    place = F.shiftright("_line", 33)
+    sizes = parts.groupBy(place.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = parts.withColumn("_part", place).join(F.broadcast(sizes), "_part")
+    return numbered.withColumn("rank", F.col("_before") + F.col("_line").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_line", "_before")
+
+
 def size_check(top: DataFrame, k: int) -> DataFrame:
     """(used, missing): min(k, results) and how many results are missing."""
     return top.agg(F.least(F.lit(k).cast("long"), F.count("*")).alias("used"), F.greatest(F.lit(0).cast("long"), F.lit(k) - F.count("*")).alias("missing"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import error_model, generate, matrix, rank_metrics, stats, topk
+from ..operators.graph import is_local
 from ..sources import mtx, result_logs
 from .catalogue import E_SQL, G_SQL, L_SQL, T_SQL, _t, query, rounded, view_e, view_g, view_l, view_t
 
@@ -184,15 +186,25 @@ def zscore_grouped(spark, d):
     return stats.within_sigma(_t(spark, d, "orders"), "o_totalprice", 1.5, ["o_orderpriority"]).select(F.col("o_orderkey").alias("id"))
 
 
-def _t_sql() -> str:
-    return "[" + ", ".join(map(str, stats.T_95)) + "]"
+#: Published two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom, for the SQL alone.
+PUBLISHED_T = (
+    12.7062047, 4.3026527, 3.1824463, 2.7764451, 2.5705818, 2.4469119, 2.3646243, 2.3060041, 2.2621572, 2.2281389,
+    2.2009852, 2.1788128, 2.1603687, 2.1447867, 2.1314495, 2.1199053, 2.1098156, 2.1009220, 2.0930241, 2.0859634,
+    2.0796138, 2.0738731, 2.0686576, 2.0638986, 2.0595386, 2.0555294, 2.0518305, 2.0484071, 2.0452296, 2.0422725,
+)
+#: Fixed value: the normal quantile; beyond 30 the SQL uses the published expansion in 1 / degrees.
+_Z = "1.959963984540054e0"
+_T_SQL = f"""CASE WHEN n <= 31 THEN [{", ".join(map(str, PUBLISHED_T))}][n - 1] ELSE {_Z} + (power({_Z}, 3) + {_Z}) / (4 * (n - 1))
+  + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * power(n - 1, 2))
+  + (3 * power({_Z}, 7) + 19 * power({_Z}, 5) + 17 * power({_Z}, 3) - 15 * {_Z}) / (384 * power(n - 1, 3))
+  + (79 * power({_Z}, 9) + 776 * power({_Z}, 7) + 1482 * power({_Z}, 5) - 1920 * power({_Z}, 3) - 945 * {_Z}) / (92160 * power(n - 1, 4)) END"""
 
 
-@query(f"WITH {T_SQL}, s AS (SELECT user_id, count(time) AS n, avg(time) AS m, stddev_samp(time) AS sd FROM T GROUP BY user_id) SELECT user_id, round(m, 6) AS mean, round(m - {_t_sql()}[CAST(least(n - 1, {len(stats.T_95)}) AS INTEGER)] * sd / sqrt(n), 6) AS lower, round(m + {_t_sql()}[CAST(least(n - 1, {len(stats.T_95)}) AS INTEGER)] * sd / sqrt(n), 6) AS upper FROM s WHERE n > 1")
+@query(f"WITH {T_SQL}, s AS (SELECT user_id, count(time) AS n, avg(time) AS m, stddev_samp(time) AS sd FROM T GROUP BY user_id), h AS (SELECT user_id, m, {_T_SQL} * sd / sqrt(n) AS half FROM s WHERE n > 1) SELECT user_id, round(m, 5) AS mean, round(m - half, 5) AS lower, round(m + half, 5) AS upper FROM h")
 def ci_t(spark, d):
     t = view_t(spark, d)
     out = stats.confidence(t, "time", ["user_id"]).filter("lower IS NOT NULL")
-    return rounded(out, "mean", "lower", "upper", digits=6)
+    return rounded(out, "mean", "lower", "upper", digits=5)
 
 
 @query(f"WITH {T_SQL} SELECT grp, round(coalesce(avg(time) FILTER (WHERE iteration >= 2), 0), 6) AS mean, round(coalesce(stddev_pop(time) FILTER (WHERE iteration >= 2), 0), 6) AS sd FROM T GROUP BY grp")
@@ -288,8 +300,17 @@ def closed_form(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; in local mode a temporary one, if none is set."""
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/nearfield-files" if base else tempfile.mkdtemp(prefix="nearfield-")
+    if not base and not is_local(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='nearfield-')}/files-{uuid.uuid4().hex}"
+
+
+def _vertices(spark: SparkSession, d: str) -> tuple[int, int]:
+    """Dimensions of the graph's matrix: the largest vertex and one more."""
+    n = view_g(spark, d).agg(F.greatest(F.max("src"), F.max("dst"))).first()[0]
+    return (0, 0) if n is None else (int(n) + 1, int(n) + 1)
 
 
 @query(f"WITH {L_SQL} SELECT row, col, val FROM L")
@@ -303,14 +324,14 @@ def mtx_roundtrip(spark, d):
 @query(f"WITH {G_SQL} SELECT src AS row, dst AS col, 1.0::DOUBLE AS val FROM G WHERE src <> dst")
 def mtx_pattern(spark, d):
     path = f"{_scratch(spark)}/g.mtx"
-    mtx.write_mtx(view_g(spark, d).select(F.col("src").cast("long").alias("row"), F.col("dst").cast("long").alias("col"), F.lit(1.0).alias("val")), path, 25, 25, field="pattern")
+    mtx.write_mtx(view_g(spark, d).select(F.col("src").cast("long").alias("row"), F.col("dst").cast("long").alias("col"), F.lit(1.0).alias("val")), path, *_vertices(spark, d), field="pattern")
     return mtx.read_mtx(spark, path, fast=True)
 
 
 @query(f"WITH {G_SQL} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, 1.0 / count(*) OVER (PARTITION BY src) AS weight FROM G WHERE src <> dst")
 def graph_load(spark, d):
     path = f"{_scratch(spark)}/g2.mtx"
-    mtx.write_mtx(view_g(spark, d).select(F.col("src").cast("long").alias("row"), F.col("dst").cast("long").alias("col"), F.lit(1.0).alias("val")), path, 25, 25, field="pattern")
+    mtx.write_mtx(view_g(spark, d).select(F.col("src").cast("long").alias("row"), F.col("dst").cast("long").alias("col"), F.lit(1.0).alias("val")), path, *_vertices(spark, d), field="pattern")
     return mtx.load_graph(spark, path)
 
 

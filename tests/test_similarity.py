@@ -185,3 +185,38 @@ def test_missing_baseline_must_agree(spark):
     df = spark.createDataFrame([("a", "cpu", 1.0), ("a", "cpu", 2.0), ("a", "gpu", None)], "key string, system string, value double")
     with pytest.raises(Exception, match="differ"):
         stats.fill_missing(df, "value", ["key"], "system", "cpu").collect()
+
+
+def test_student_quantiles(spark):
+    published = {1: 12.706, 2: 4.303, 10: 2.228, 30: 2.042, 31: 2.040, 48: 2.011, 80: 1.990, 100: 1.984, 120: 1.980, 1000: 1.962}
+    rows = spark.createDataFrame([(n,) for n in published], "n long").select("n", stats.student_quantile(F.col("n")).alias("t")).collect()
+    assert {r.n: round(r.t, 3) for r in rows} == published
+    assert abs(stats.student_quantiles(0.99)[9] - 3.169) < 1e-3
+
+
+def test_rank_of_all_rows(spark):
+    df = spark.range(5000).select(F.col("id").alias("row"), ((F.col("id") * 7919) % 501).cast("double").alias("score"))
+    got = [(r["row"], r["rank"]) for r in topk.rank_all(df).orderBy("rank").collect()]
+    want = sorted(((i * 7919) % 501, i) for i in range(5000))[::-1]
+    assert got == [(i, n + 1) for n, (_, i) in enumerate(want)]
+    assert topk.rank_all(df.limit(0)).count() == 0
+
+
+def test_packet_segments_against_counting(spark):
+    import random
+
+    rng = random.Random(3)
+    entries = sorted((rng.randrange(40), rng.randrange(50), 1.0) for _ in range(700))
+    want, part_rows = [], math.ceil(40 / 7)
+    for part in range(7):
+        inside = [e[0] for e in entries if e[0] // part_rows == part]
+        runs = {}
+        for n, row in enumerate(inside):
+            runs[n // 5, row] = runs.get((n // 5, row), 0) + 1
+        seen, upto = set(), {}
+        for (packet, row), count in runs.items():
+            upto[packet] = upto.get(packet, 0) + count
+            want.append((part, packet, row, count, upto[packet], row not in seen))
+            seen.add(row)
+    got = matrix.packet_segments(coo_of(spark, entries), 7, 5, 40).select("part", "packet", "row", "entries", "upto", "starts").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
