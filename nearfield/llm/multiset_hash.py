@@ -2,15 +2,16 @@
 
 A text's paragraphs are its lines, a line of several sentences being cut behind each. Each paragraph
 hashes to a wide vector and a text's fingerprint is the sum over its paragraphs: ``HASHES`` x 2 lanes of
-32 bits modulo 2^32 decide equality, and ``SIGNS`` longs of three 20-bit counters count set hash bits,
+32 bits modulo 2^32 decide equality, and ``SIGNS`` longs of two 31-bit counters count set hash bits,
 from which the likeness of two multisets is estimated (cosine of the +-1 sums, standard error
 1/sqrt(192), about 0.07). Order does not matter, and a paragraph is inserted or deleted by adding or
-subtracting its vector (:func:`combine`), without the rest of the text.
+subtracting its vector (:func:`combine`), without the rest of the text. Each of the ``HASHES`` hashes is seeded by
+its number before it reads the paragraph, so that paragraphs that agree in one do not agree in the others.
 
 Defined results: a null text is an empty one, whose fingerprint is the zero vector; likeness of two
 equal fingerprints is 1, of an empty and another text 0; rows with a null id have no next document (an
 empty text stands for it); equal ids order by text; a single document is its own next; an empty table
-gives no rows; extra columns are ignored. The counters hold for texts of up to a million paragraphs.
+gives no rows; extra columns are ignored. The counters hold 2^31 paragraphs, more than a text can have.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 HASHES = 4
-SIGNS = 64
-LANE, SPREAD, KEEP = 20, 1 | 1 << 19 | 1 << 38, 1 | 1 << 20 | 1 << 40
+SIGNS = 96
+LANE, SPREAD, KEEP = 31, 1 | 1 << 30, 1 | 1 << 31
 LOW32 = (1 << 32) - 1
 
 
@@ -39,14 +40,14 @@ def vector(hashes: Column) -> Column:
     """struct<n, wide array<long>, signs array<long>> from an array of structs h0..h3 (longs)."""
     h = [f"h{i}" for i in range(HASHES)]
     wide = [_sum(hashes, lambda x, k=k, s=s: F.shiftrightunsigned(x[k], s).bitwiseAND(F.lit(LOW32))).bitwiseAND(F.lit(LOW32)) for k in h for s in (0, 32)]
-    # three hash bits at a time, one to each 20-bit counter
-    signs = [_sum(hashes, lambda x, k=k, s=s: (F.shiftrightunsigned(x[k], s).bitwiseAND(F.lit(7)) * F.lit(SPREAD)).bitwiseAND(F.lit(KEEP))) for k in h for s in range(0, 48, 3)]
+    # two hash bits at a time, one to each 31-bit counter
+    signs = [_sum(hashes, lambda x, k=k, s=s: (F.shiftrightunsigned(x[k], s).bitwiseAND(F.lit(3)) * F.lit(SPREAD)).bitwiseAND(F.lit(KEEP))) for k in h for s in range(0, 48, 2)]
     return F.struct(F.size(hashes).cast("long").alias("n"), F.array(*wide).alias("wide"), F.array(*signs).alias("signs"))
 
 
 def hash_paragraphs(text: Column) -> Column:
     """Array of hash structs, input of :func:`vector`."""
-    return F.transform(paragraphs(text), lambda p: F.struct(*(F.xxhash64(p, F.lit(i)).alias(f"h{i}") for i in range(HASHES))))
+    return F.transform(paragraphs(text), lambda p: F.struct(*(F.xxhash64(F.lit(i), p).alias(f"h{i}") for i in range(HASHES))))
 
 
 def with_vector(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -64,9 +65,9 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def digest(v: Column) -> Column:
-    """The vector as a string: 8 hex digits for each wide lane, 15 for each three counters."""
+    """The vector as a string: 8 hex digits for each wide lane, 16 for each two counters."""
     wide = F.transform(v["wide"], lambda x: F.lpad(F.hex(x), 8, "0"))
-    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(F.transform(v["signs"], lambda x: F.lpad(F.hex(x), 15, "0")), "")))
+    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(F.transform(v["signs"], lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,7 +75,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def dot(x, y):
         part = lambda v, i: F.shiftrightunsigned(v, LANE * i).bitwiseAND(F.lit((1 << LANE) - 1)).cast("double")
-        terms = F.zip_with(x["signs"], y["signs"], lambda p, q: sum(((2 * part(p, i) - x["n"]) * (2 * part(q, i) - y["n"]) for i in range(3)), F.lit(0.0)))
+        terms = F.zip_with(x["signs"], y["signs"], lambda p, q: sum(((2 * part(p, i) - x["n"]) * (2 * part(q, i) - y["n"]) for i in range(2)), F.lit(0.0)))
         return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
 
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -11,9 +11,8 @@ from nearfield.llm.common import table
 
 
 def spark_hash(text, i):
-    # xxhash64(string, int): the string's hash seeds that of the 4-byte number
-    seed = xxhash.xxh64_intdigest(text.encode(), 42)
-    return xxhash.xxh64_intdigest(int(i).to_bytes(4, "little"), seed)
+    # xxhash64(int, string): the hash of the 4-byte number seeds that of the string
+    return xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(int(i).to_bytes(4, "little"), 42))
 
 
 def plain_vector(text):
@@ -29,8 +28,8 @@ def plain_vector(text):
 
 
 def plain_digest(v):
-    triples = v[2].reshape(64, 3)
-    return "".join(f"{x:08x}" for x in v[1]) + "".join(f"{int(a) + (int(b) << 20) + (int(c) << 40):015x}" for a, b, c in triples)
+    pairs = v[2].reshape(96, 2)
+    return "".join(f"{x:08x}" for x in v[1]) + "".join(f"{int(a) + (int(b) << 31):016x}" for a, b in pairs)
 
 
 def plain_likeness(a, b):
@@ -87,3 +86,20 @@ def test_insert_and_delete(spark):
         df = mh.with_vector(df, c, f"v{c}")
     r = df.select(mh.combine(F.col("va"), F.col("vb")) == F.col("vboth"), mh.combine(F.col("vboth"), F.col("vb"), -1) == F.col("va")).first()
     assert r == (True, True)
+
+
+def test_lanes_are_independent(spark):
+    """No hash is a function of another: paragraphs in pairs that agree in some bits of one differ in the others."""
+    df = spark.range(20_000).select(mh.hash_paragraphs(F.concat(F.lit("p"), "id"))[0].alias("h")).select("h.*")
+    bits = {c: F.col(c).bitwiseAND(F.lit(0x3FF)) for c in df.columns}
+    for a, b in (("h0", "h1"), ("h1", "h2"), ("h2", "h3"), ("h0", "h3")):
+        assert df.groupBy(bits[a].alias("a"), bits[b].alias("b")).count().filter("count > 6").count() == 0
+
+
+def test_many_paragraphs_do_not_carry(spark):
+    df = spark.range(1).select(F.repeat(F.lit("a\n"), 1_200_000).alias("t"), F.repeat(F.lit("b\n"), 1_200_000).alias("u"))
+    df = mh.with_vector(mh.with_vector(df, "t", "v"), "u", "w")
+    near, far, same = df.select(mh.likeness(F.col("v"), mh.combine(F.col("v"), F.col("w"))), mh.likeness(F.col("v"), F.col("w")), mh.likeness(F.col("v"), F.col("v"))).first()
+    ones = [np.array([1 if spark_hash(p, i) >> b & 1 else -1 for i in range(4) for b in range(48)]) for p in "ab"]
+    cos = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
+    assert same == 1 and abs(near - cos(ones[0], ones[0] + ones[1])) < 1e-9 and abs(far - max(0, cos(*ones))) < 1e-9
