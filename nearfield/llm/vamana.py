@@ -7,8 +7,9 @@ neighbour is ``alpha`` times nearer to it) keeps diverse edges, edges are also l
 that overflow are pruned again. A query searches every shard with a beam and the shards' best are merged.
 The final score is the cosine of the original vectors in double precision.
 
-Index and queries meet in blocks: a task holds one shard and one block of at most ``query_rows`` queries,
-so no task grows with either side; the graphs are built once and kept in the shared checkpoint folder.
+The graphs are built once and kept, shard by shard, in the shared checkpoint folder. A search leaves them where they
+are: blocks of queries, of at most ``HELD`` bytes, are broadcast one after another, and each task searches its shards
+one at a time. Since every query meets every shard, the searches grow with queries times shards.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 neither do null ids; vectors of different lengths are not neighbours; repeated vectors and ties go to the
@@ -20,12 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared, table
 
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
+HELD = 32 << 20
 
 
 def _beam_search(vecs: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int, active_rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +57,8 @@ def _beam_search(vecs: np.ndarray, nbrs: np.ndarray, starts: np.ndarray, q: np.n
         done[live, at] = True
         new = nbrs[ids[live, at]]
         ok = (new >= 0) & ~seen[live[:, None], new]
-        seen[live[:, None], np.where(new >= 0, new, 0)] |= new >= 0
+        row, at = np.nonzero(new >= 0)
+        seen[live[row], new[row, at]] = True
         got = np.where(ok, np.einsum("qd,qrd->qr", q[live], vecs[np.where(ok, new, 0)], optimize=True), -np.inf).astype(np.float32)
         all_ids = np.concatenate([ids[live], np.where(ok, new, -1)], axis=1)
         all_sims = np.concatenate([sims[live], got], axis=1)
@@ -119,6 +123,8 @@ def _lay_back(vecs: np.ndarray, nbrs: np.ndarray, rows: np.ndarray, degree: int,
     """Add the edges of ``rows`` to the lists of their neighbours, pruning lists that overflow."""
     to, frm = nbrs[rows].ravel(), np.repeat(rows, degree)
     frm, to = frm[to >= 0], to[to >= 0]
+    new = (nbrs[to] != frm[:, None]).all(axis=1)  # a list holds a node once
+    frm, to = frm[new], to[new]
     by = np.argsort(to, kind="stable")
     frm, to = frm[by], to[by]
     nodes, first, count = np.unique(to, return_index=True, return_counts=True)
@@ -155,7 +161,7 @@ def build_index(rows: DataFrame, shard_rows: int, copies: int, **graph) -> DataF
     nodes = shared(first.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = nodes.count()
     shards = max(1, -(-n // shard_rows))
-    dealt = nodes.withColumn("shard", F.concat_ws("/", F.size("v"), F.pmod(F.xxhash64("v"), F.lit(shards))))
+    dealt = nodes.withColumn("shard", F.concat_ws("/", F.size("v"), F.pmod(F.xxhash64("v"), F.lit(shards)))).repartition(shards, "shard")
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ids", key=lambda s: s.map(lambda x: x[0])).reset_index(drop=True)
@@ -171,41 +177,79 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest component near 1: no cosine changes, no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of vector a and each row of b, in double precision."""
+    a, b = _scaled(a), _scaled(b)
     return (b @ a) / (np.sqrt(a @ a) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96, query_rows: int = 4096) -> DataFrame:
+def _whole_shards(batches):
+    """Tables of one shard each from batches in which a shard's rows follow one another."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = b.column(0).to_pylist()
+        cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if held and held[0].column(0)[0].as_py() != names[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """Rows of equally long lists."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96, held: int = HELD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query (vec_id, v), itself left out."""
-    blocks = max(1, -(-queries.count() // query_rows))
-    last = index.agg(F.max(F.substring_index("shard", "/", -1).cast("int"))).first()[0] or 0
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    # a stated query set meets all shards, in blocks
-    q = q.withColumn("to", F.explode(F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.concat_ws("/", F.size("q"), i))))
-    by_block = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(part) and len(asked):
-            part = part.sort_values("node")
-            vecs, ids = np.stack(part["v"].to_list()), part["ids"].to_list()
-            nbrs, starts = np.stack(part["nbrs"].to_list()), np.flatnonzero(part["start"].to_numpy()).astype(np.int32)
-            unit = _unit(vecs)
-            own, qs = asked["query_id"].to_numpy(), np.stack(asked["q"].to_list())
-            for lo in range(0, len(asked), 256):
+    spark = index.sparkSession
+    n, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-n * 8 * ((width or 0) + 1) // held))
+    block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks))
+    found = None
+    for i in range(blocks):
+        asked: dict[int, tuple[list[int], list]] = {}
+        for r in queries.filter(block == i).select("vec_id", "v").toLocalIterator():
+            ids, vectors = asked.setdefault(len(r.v), ([], []))
+            ids.append(r.vec_id)
+            vectors.append(r.v)
+        part = index.mapInArrow(_finder(spark.sparkContext.broadcast({d: (np.array(ids), np.array(vs)) for d, (ids, vs) in asked.items()}), k, beam), "query_id long, vec_id long, score double")
+        found = part if found is None else found.unionAll(part)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _finder(queries, k: int, beam: int):
+    def find(batches):
+        for shard in _whole_shards(batches):
+            vecs, ids = _matrix(shard["v"], float), shard["ids"].to_pylist()
+            if vecs.shape[1] not in queries.value:
+                continue
+            own, qs = queries.value[vecs.shape[1]]
+            nbrs, starts = _matrix(shard["nbrs"], np.int32), np.flatnonzero(shard["start"].to_numpy()).astype(np.int32)
+            unit, out = _unit(vecs), []
+            for lo in range(0, len(own), 256):
                 got, _ = _beam_search(unit, nbrs, starts, _unit(qs[lo : lo + 256]), min(beam, len(vecs)))
-                for j, found in enumerate(got[:, : 4 * k + 4]):
-                    found = found[found >= 0]
-                    score = _cosines(qs[lo + j], vecs[found])
+                for j, near in enumerate(got[:, : 4 * k + 4]):
+                    near = near[near >= 0]
+                    score = _cosines(qs[lo + j], vecs[near])
                     me = int(own[lo + j])
-                    best = sorted((-s, i) for s, f in zip(score.tolist(), found.tolist(), strict=True) for i in ids[f] if i != me)[:k]
+                    best = sorted((-s, i) for s, f in zip(score.tolist(), near.tolist(), strict=True) for i in ids[f] if i != me)[:k]
                     out += [(me, i, -s) for s, i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = by_block.groupBy("shard", "block").cogroup(q.groupBy("to", "block")).applyInPandas(find, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return find
 
 
 def nearest(df: DataFrame, is_query, k: int = 5, shard_rows: int = 8192, id_col: str = "vec_id", vec_col: str = "embedding", **graph) -> DataFrame:

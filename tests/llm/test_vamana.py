@@ -50,6 +50,10 @@ def test_recall_of_a_graph_on_random_vectors():
     exact = np.argsort(-(q @ u.T), axis=1)[:, :5]
     assert np.mean([len(set(a[:5]) & set(b)) / 5 for a, b in zip(got.tolist(), exact.tolist(), strict=True)]) > 0.95
     assert (nbrs != np.arange(3000)[:, None]).all()
+    for row in nbrs.tolist():
+        held = [x for x in row if x >= 0]
+        assert len(held) == len(set(held))
+    assert all(len(set(x)) == len(x) for x in got.tolist())
 
 
 def test_odd_rows_shards_and_ties(spark):
@@ -64,3 +68,42 @@ def test_odd_rows_shards_and_ties(spark):
     want = brute(rows, range(0, 260, 10))
     assert {q: v for q, v in got.items()} == want
     assert vamana.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(5) * (1e200, 1.0, 1e-200)[i % 3]).tolist()) for i in range(60)]
+    got = result(vamana.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0))
+    small = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    want = brute(small, range(0, 60, 10))
+    assert got.keys() == want.keys()
+    for q, found in got.items():
+        assert [i for _, i in found] == [i for _, i in want[q]] and all(abs(a - b) < 1e-11 for (a, _), (b, _) in zip(found, want[q], strict=True))
+
+
+def test_query_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(300)]
+    df = vamana.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    index = vamana.build_index(df, 70, 6)
+    once, often = (result(vamana.search(index, df.filter("vec_id % 5 = 0"), held=held)) for held in (1 << 20, 600))
+    assert once == often == brute(rows, range(0, 300, 5))
+
+
+def test_recall_of_clusters_in_full_shards():
+    """Clustered vectors, more than one shard holds: every shard is searched, the best are merged."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((150, 32)) * 3
+    v = centres[rng.integers(0, 150, 12_000)] + rng.standard_normal((12_000, 32)) * 0.6
+    u = vamana._unit(v)
+    q = np.arange(0, 12_000, 200)
+    exact = np.argsort(-(u[q] @ u.T), axis=1)[:, :6]
+    best = [[] for _ in q]
+    for rows in (np.arange(0, 12_000, 2), np.arange(1, 12_000, 2)):
+        nbrs, starts = vamana.build_graph(u[rows])
+        ids, sims = vamana._beam_search(u[rows], nbrs, starts, u[q], 96)
+        for j in range(len(q)):
+            best[j] += [(-s, rows[i]) for s, i in zip(sims[j, :24].tolist(), ids[j, :24].tolist(), strict=True)]
+    recall = np.mean([len({i for _, i in sorted(b)[:6]} & set(e)) / 6 for b, e in zip(best, exact.tolist(), strict=True)])
+    print("recall", recall)
+    assert recall >= 0.95
