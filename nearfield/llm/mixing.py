@@ -8,13 +8,14 @@ blocks q div n times and q mod n more, picked by a seeded systematic draw: block
 ((i + 1) r + u) div n exceeds (i r + u) div n. The draw is a closed form, so the words taken from a
 document are computed in its own row, without making a row for each block.
 
-Only sizes travel: the text is shuffled only if the caller asks for it. One source with a third of all
-rows is cut by its shards, whose number follows the rows. The driver holds one row for each source and
-one count for each (source, shard); ``max_shards`` bounds the latter.
+Only sizes travel: the text is shuffled only if the caller asks for it. A source is cut in shards of about
+``shard_docs`` documents by its own number of rows, so one with a third of all rows has the more shards. The driver
+holds one row for each source; a source's quota goes to its shards in a task of that source, a row for each shard.
 
 Defined results: null and empty texts have size 0 and give nothing; null is a source of its own, last in
-order; repeated rows and ids are separate documents; null ids are dealt by their size; one source has its
-target held at ``cap`` times its size, and an empty table gives no rows; extra columns are ignored.
+order; repeated rows and ids are separate documents, and ids that are null or repeated are dealt by their texts;
+one source has its target held at ``cap`` times its size, and an empty table gives no rows; extra columns are kept,
+but those that bear the name of an added one are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import heapq
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -85,48 +87,60 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return got
 
 
+#: Columns that :func:`mix` adds.
+ADDED = ("size", "source_size", "target", "start", "stream", "blocks", "quota", "u", "taken")
+
+
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, block_words: int = 128,
-    shard_docs: int = 4000, max_shards: int = 4096, seed: int = 17, size: Column | None = None,
+    shard_docs: int = 4000, seed: int = 17, size: Column | None = None, tie: Column | None = None,
 ) -> DataFrame:
-    """Adds to ``docs``: size, source_size, target, start, stream, quota, u, taken.
+    """Adds to ``docs``: size, source_size, target, start, stream, blocks, quota, u, taken.
 
     ``weights`` repeat over the sources in code-point order, null last. start is the document's first
-    word in its stream of ``stream`` words; with quota and u it fixes every block's count (:func:`times`).
+    word in its stream of ``stream`` words; with blocks, quota and u it fixes every block's count (:func:`times`).
+    ``size`` and ``tie``, which tells documents of one id apart, come from the text unless they are given.
     """
+    spark = docs.sparkSession
     seeded = lambda *c: F.xxhash64(F.lit(seed), *c)
-    rows = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
-    n = rows.count()
-    shards = max(1, min(max_shards, -(-n // shard_docs)))
-    shard = F.pmod(seeded(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("size")))), F.lit(shards)).cast("int")
-    rows = rows.withColumn("shard", shard)
-    # one row for each (source, shard): bounded by sources x max_shards
-    cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
-    order = sorted({c.source for c in cells}, key=lambda s: (s is None, s or ""))
-    sizes = [0] * len(order)
-    at = {s: i for i, s in enumerate(order)}
-    blocks: list[dict[int, int]] = [{} for _ in order]
-    words = {}
-    for c in cells:
-        sizes[at[c.source]] += c.words
-        blocks[at[c.source]][c.shard] = -(-c.words // block_words)
-        words[at[c.source], c.shard] = c.words
+    rows = docs.select(
+        *(F.col(f"`{c}`") for c in docs.columns if c not in ADDED),
+        F.col("source").cast("string").alias("__source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__id"),
+        (word_count(F.col("text")) if size is None else size).alias("__size"), (F.xxhash64(F.col("text")) if tie is None else tie).alias("__tie"),
+    )
+    narrow = rows.select("__source", "__id", "__size", "__tie")
+    narrow = shared(narrow) if size is None else narrow
+    found = {r["__source"]: r for r in narrow.groupBy("__source").agg(F.count("*").alias("n"), F.sum("__size").alias("words")).collect()}
+    order = sorted(found, key=lambda s: (s is None, s or ""))
+    few = F.broadcast if len(order) <= 100_000 else lambda df: df
+    names = few(spark.createDataFrame([(i, s, -(-found[s].n // shard_docs)) for i, s in enumerate(order)], "__s int, __name string, __shards long"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        shard = F.pmod(seeded("__id", "__tie"), F.greatest("__shards", F.lit(1)))
+        return df.join(names, F.col("__source").eqNullSafe(F.col("__name")), "left").withColumn("__shard", shard)
+
+    cells = shared(dealt(narrow).groupBy("__s", "__shard").agg(F.sum("__size").alias("words")))
+    held = cells.withColumn("blocks", F.ceil(F.col("words") / block_words).cast("long"))
+    have = {r["__s"]: r.blocks for r in held.groupBy("__s").agg(F.sum("blocks").alias("blocks")).collect()}
+    sizes = [found[s].words for s in order]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(order))], share, cap)
-    have = [sum(b.values()) for b in blocks]
-    votes = [h * g / s if s else 0.0 for h, g, s in zip(have, goal, sizes, strict=True)]
-    quotas = sainte_lague(votes, round(sum(votes)), [cap * h for h in have])
-    plan = []
-    for i, b in enumerate(blocks):
-        names = sorted(b)
-        for k, q in zip(names, sainte_lague([b[x] for x in names], quotas[i], [cap * b[x] for x in names]), strict=True):
-            plan.append((order[i], k, sizes[i], goal[i], words[i, k], b[k], q))
-    plan = docs.sparkSession.createDataFrame(plan, "m_source string, m_shard int, source_size long, target double, stream long, blocks long, quota long")
-    plan = F.broadcast(plan) if len(cells) < 50_000 else plan
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("m_source")) & (F.col("shard") == F.col("m_shard")), "left").drop("m_source", "m_shard")
-    line = Window.partitionBy("source", "shard").orderBy(seeded(F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = joined.withColumn("start", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    out = out.withColumn("u", F.when(F.col("blocks") > 0, F.pmod(seeded(F.col("source"), F.col("shard"), F.lit("draw")), F.col("blocks"))).otherwise(0))
-    return out.withColumn("taken", _taken(block_words)).drop("shard")
+    votes = [have[i] * g / n if n else 0.0 for i, (g, n) in enumerate(zip(goal, sizes, strict=True))]
+    quotas = sainte_lague(votes, round(sum(votes)), [cap * have[i] for i in range(len(order))])
+    goals = few(spark.createDataFrame([(i, *x) for i, x in enumerate(zip(sizes, goal, quotas, strict=True))], "__s int, source_size long, target double, whole long"))
+
+    def to_shards(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("__shard")
+        n = part["blocks"].tolist()
+        return part.assign(quota=sainte_lague(n, int(part["whole"].iloc[0]), [cap * x for x in n]))[["__s", "__shard", "source_size", "target", "stream", "blocks", "quota"]]
+
+    plan = held.withColumnRenamed("words", "stream").join(goals, "__s").groupBy("__s").applyInPandas(to_shards, "__s int, __shard long, source_size long, target double, stream long, blocks long, quota long")
+    joined = dealt(rows).join(plan, ["__s", "__shard"], "left")
+    # rows of one id and text are alike, so their order does not matter
+    line = Window.partitionBy("__s", "__shard").orderBy(seeded("__id", "__tie"), "__id", "__tie", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    out = joined.withColumn("size", F.col("__size")).withColumn("start", F.coalesce(F.sum("__size").over(line), F.lit(0)))
+    out = out.withColumn("u", F.when(F.col("blocks") > 0, F.pmod(seeded("__s", "__shard", F.lit("draw")), F.col("blocks"))).otherwise(0))
+    out = out.withColumn("taken", _taken(block_words))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ADDED), *ADDED)
 
 
 def _taken(block_words: int) -> Column:
@@ -199,6 +213,6 @@ def mixed_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang",
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
-    sized = shared(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
-    out = mix(sized, size=F.col("size"))
+    sized = shared(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
+    out = mix(sized, size=F.col("size"), tie=F.col("tie"))
     return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -62,3 +62,28 @@ def test_odd_rows(spark):
     rows = mixing.mix(df, block_words=1).collect()
     assert sorted(r.size for r in rows) == [0, 0, 1, 3, 3] and all(r.taken <= 2 * r.size for r in rows)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 5, 5, i]), " ".join(rng.choice("abc") for _ in range(rng.randrange(40))), rng.choice(["x", "y"]), "b", 1, 2, 3, 4.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, blocks string, quota int, shard int, words int, target double")
+    got = mixing.mix(df, shard_docs=100, block_words=4)
+    assert set(df.columns) <= set(got.columns) and len(got.columns) == len(set(got.columns))
+    got = got.collect()
+    assert len(got) == len(rows) and all(r.shard == 2 and r.words == 3 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault((r.source, r.stream, r.blocks, r.quota, r.u), []).append(r)
+    # null and repeated ids spread over the shards
+    assert max(len(x) for x in by.values()) < 300 and len(by) > 20
+    texts = lambda d: sorted((r.source, r.text) for r in mixing.mixed_documents(d, ("doc_id", "source"), shard_docs=100, block_words=4).collect())
+    assert texts(df) == texts(df.repartition(7))
+
+
+def test_long_text(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, " ".join(words), "a"), (2, "few words here", "a"), (3, "other source", "b")], "doc_id long, text string, source string")
+    r = {r.doc_id: r for r in mixing.mix(df).collect()}[1]
+    assert r.size == 60_000 and r.taken == sum(mixing.times(w // 128, r.blocks, r.quota, r.u) for w in range(r.start, r.start + r.size))
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(df, ("doc_id", "source")).filter("doc_id = 1").collect()) == r.taken
