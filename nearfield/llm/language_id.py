@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_sample, table
+from .common import crc_mod, hash_sample, slices, table
 
 WINDOW = 64
 HIDDEN = 8
@@ -197,8 +197,7 @@ def predict(docs: DataFrame, train_docs: int = 2000, hold_out: int = 4, held: in
     def run(batches):
         n = net.value
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for part in slices(b, 1):
                 texts = part.column(1).to_pylist()
                 lettered = [n is not None and any(map(str.isalpha, t)) for t in texts]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)

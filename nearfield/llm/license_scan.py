@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared, small, table
+from .common import shared, slices, small, table
 from .license_templates import BASE, TEMPLATES
 
 K = 3
@@ -88,8 +88,7 @@ def gram_rows(docs: DataFrame, k: int = K) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
+            for part in slices(b, 3):
                 hs = [gram_hashes(words_of(t or b""), k) for t in part.column(3).to_pylist()]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hs)]), pa.int32()), pa.array(np.concatenate(hs)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], names=["doc_id", "k1", "k2", "hs"])
@@ -194,8 +193,8 @@ def scan(docs: DataFrame, least_match: float = 0.8) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part, out = b.slice(lo, 256), []
+            for part in slices(b, 1):
+                out = []
                 for t, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = words_of(t)
                     places, base, labels, best = verify(words, found or [], least_match)

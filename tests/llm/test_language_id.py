@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -50,3 +51,49 @@ def test_odd_rows(spark):
     assert [got[i].lang_pred for i in (40, 41, 42)] == ["und"] * 3 and got[43].lang_pred == got[None].lang_pred == "en"
     assert {r.lang_pred for r in li.predict(df.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")).collect()} == {"und"}
     assert li.predict(df.limit(0)).count() == 0
+
+
+def plain_states(gru, data):
+    h, state, out = gru.h, [0.0] * gru.h, []
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    for byte in data:
+        rec = [sum(float(gru.u[i, j]) * state[j] for j in range(h)) for i in range(3 * h)]
+        own = [float(gru.table[i, byte]) for i in range(3 * h)]
+        z = [logistic(own[i] + rec[i]) for i in range(h)]
+        r = [logistic(own[h + i] + rec[h + i]) for i in range(h)]
+        n = [math.tanh(own[2 * h + i] + r[i] * rec[2 * h + i]) for i in range(h)]
+        state = [n[i] + z[i] * (state[i] - n[i]) for i in range(h)]
+        out.append(state)
+    return out
+
+
+def plain_probabilities(net, data):
+    """Mean over all positions of a text, each in its window, one byte at a time."""
+    total, n, size = [0.0] * len(net.labels), len(data), li.WINDOW
+    starts = list(range(0, n - size + 1, size)) if n >= size else []
+    windows = [(s, 0) for s in starts] + ([(max(0, n - size), n // size * size)] if n % size else [])
+    for start, fresh in windows:
+        part = data[start : start + size].ljust(size, b" ")
+        forth, back = plain_states(net.forth, part), plain_states(net.back, part[::-1])[::-1]
+        for i in range(size):
+            if fresh <= start + i < n:
+                s = forth[i] + back[i]
+                v = [sum(float(net.w[c, j]) * s[j] for j in range(len(s))) + float(net.b[c, 0]) for c in range(len(net.labels))]
+                e = [math.exp(x - max(v)) for x in v]
+                total = [t + x / sum(e) for t, x in zip(total, e, strict=True)]
+    return [t / n for t in total]
+
+
+def test_documents_against_a_plain_network():
+    net = li.train([b"the cat and the mouse " * 9, "le château de la mère ".encode() * 9, b"der hund und die maus " * 9], ["en", "fr", "de"], steps=20)
+    texts = ["the cat", "la mère et le chat " * 3, "x", "der hund und die maus " * 6, "é" * 32, "a" * 64, "b" * 129]
+    got = net.classify([t.encode() for t in texts])
+    for t, p in zip(texts, got.tolist(), strict=True):
+        assert np.allclose(p, plain_probabilities(net, t.encode()), atol=2e-5), t
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "the cat and the mouse " * 3, "en", "x", "y", 7)] * 3 + [(2, "le chat et la souris " * 3, "fr", None, "z", 8)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score string, _text int")
+    got = li.predict(df).collect()
+    assert len(got) == 5 and len({(r.doc_id, r.lang_pred, r.score) for r in got}) == 2
