@@ -210,7 +210,10 @@ def float_mode(spark, d):
     return view_e(spark, d).groupBy("row").agg(F.round(F.sum((v * v).cast("double")), 4).alias("sq"))
 
 
-@query()
+_HALF_E = "greatest(floor(log2(CASE WHEN val <> 0 THEN abs(val) ELSE 1 END)), -14)"
+
+
+@query(f"WITH {E_SQL} SELECT row, col, CASE WHEN val = 0 THEN 0.0 WHEN r > 65504 THEN sign(val) * CAST('inf' AS DOUBLE) ELSE sign(val) * r END AS val FROM (SELECT row, col, val, round_even(abs(val) / power(2.0, {_HALF_E} - 10), 0) * power(2.0, {_HALF_E} - 10) AS r FROM E)")
 def half_mode(spark, d):
     return view_e(spark, d).select("row", "col", fc.half(F.col("val")).alias("val"))
 

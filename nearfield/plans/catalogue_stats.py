@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
-from ..operators import error_model, generate, matrix, rank_metrics, stats, topk
+from ..operators import error_model, generate, graph, matrix, rank_metrics, stats, topk
 from ..operators.graph import is_local
 from ..sources import mtx, result_logs
 from .catalogue import E_SQL, G_SQL, L_SQL, T_SQL, _t, query, rounded, view_e, view_g, view_l, view_t
@@ -19,25 +19,27 @@ from .catalogue import E_SQL, G_SQL, L_SQL, T_SQL, _t, query, rounded, view_e, v
 _TOP = 50
 
 
-def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, d: str, asked: str = "row < 8", most: int = _TOP) -> tuple[DataFrame, DataFrame]:
     e = view_e(spark, d)
     out = []
     for width in (32, 8):
-        q = e.filter("row < 8").select(F.col("row").alias("list_id"), "col", fc.quantise(F.col("val"), width).alias("q"))
+        q = e.filter(asked).select(F.col("row").alias("list_id"), "col", fc.quantise(F.col("val"), width).alias("q"))
         s = e.join(q, "col").groupBy("list_id", "row").agg(F.sum(fc.fixed_product(fc.quantise(F.col("val"), width), F.col("q"), width)).alias("score"))
-        top = topk.per_row_topk(s, _TOP, "list_id")
+        top = topk.per_row_topk(s, most, "list_id")
         out.append(top.select("list_id", "rank", F.col("row").alias("item"), (F.col("score") / float(1 << (width - 1))).alias("score")))
     return out[0], out[1]
 
 
-def _list_sql(name: str, w: int) -> str:
+def _list_sql(name: str, w: int, asked: str = "q.row < 8", most: int = _TOP) -> str:
     q = f"CAST(sign(val) * floor(abs(val) * {float(1 << (w - 1))}) AS BIGINT)"
     return (
-        f"f{name} AS (SELECT row, col, {q} AS v FROM E), s{name} AS (SELECT q.row AS list_id, a.row AS item, CAST(sum((a.v * q.v) // {1 << (w - 1)}) AS BIGINT) AS score FROM f{name} a JOIN f{name} q ON a.col = q.col WHERE q.row < 8 GROUP BY ALL), "
-        f"{name} AS (SELECT list_id, item, rank, score / {float(1 << (w - 1))} AS score FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, item DESC) AS rank FROM s{name}) WHERE rank <= {_TOP})"
+        f"f{name} AS (SELECT row, col, {q} AS v FROM E), s{name} AS (SELECT q.row AS list_id, a.row AS item, CAST(sum((a.v * q.v) // {1 << (w - 1)}) AS BIGINT) AS score FROM f{name} a JOIN f{name} q ON a.col = q.col WHERE {asked} GROUP BY ALL), "
+        f"{name} AS (SELECT list_id, item, rank, score / {float(1 << (w - 1))} AS score FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, item DESC) AS rank FROM s{name}) WHERE rank <= {most})"
     )
 
 
+SWEEP = (8, 16, 32, 50, 75, 100)
+SWEEP_SQL = f"{E_SQL}, {_list_sql('A', 32, 'q.row % 20 = 0', 100)}, {_list_sql('B', 8, 'q.row % 20 = 0', 100)}, t AS (SELECT unnest({list(SWEEP)}) AS t)"
 LISTS_SQL = f"{E_SQL}, {_list_sql('A', 32)}, {_list_sql('B', 8)}"
 
 
@@ -46,6 +48,17 @@ def precision_at(spark, d):
     return rank_metrics.precision_at(*_lists(spark, d), [8, 16, 32, 50])
 
 
+@query(f"WITH {SWEEP_SQL} SELECT l.list_id AS list_id, t.t AS t, coalesce(h.n, 0) / CAST(t.t AS DOUBLE) AS precision FROM (SELECT DISTINCT list_id FROM A) l CROSS JOIN t LEFT JOIN (SELECT A.list_id AS list_id, t, count(*) AS n FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item, t WHERE A.rank <= t AND B.rank <= t GROUP BY ALL) h ON h.list_id = l.list_id AND h.t = t.t")
+def precision_sweep(spark, d):
+    """All queries whose row is divisible by 20, up to 100 results."""
+    return rank_metrics.precision_at(*_lists(spark, d, "row % 20 = 0", max(SWEEP)), list(SWEEP))
+
+
+@query(f"WITH {SWEEP_SQL}, i AS (SELECT list_id, t, sum((t - rank + 1) / log2(rank + 1.0)) AS i FROM A, t WHERE rank <= t GROUP BY ALL), r AS (SELECT A.list_id AS list_id, t, sum((t - B.rank + 1) / log2(A.rank + 1.0)) AS r FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item, t WHERE A.rank <= t AND B.rank <= t GROUP BY ALL) SELECT i.list_id AS list_id, i.t AS t, round(coalesce(r, 0) / i, 9) AS ndcg FROM i LEFT JOIN r ON i.list_id = r.list_id AND i.t = r.t WHERE i.t <= (SELECT count(*) FROM embeddings)")
+def ndcg_sweep(spark, d):
+    return rounded(rank_metrics.bounded_ndcg(*_lists(spark, d, "row % 20 = 0", max(SWEEP)), bounds=SWEEP), "ndcg")
+
+
 @query(f"WITH {LISTS_SQL}, i AS (SELECT list_id, sum(({_TOP} - rank + 1) / log2(rank + 1.0)) AS i FROM A GROUP BY ALL), r AS (SELECT A.list_id AS list_id, sum(({_TOP} - B.rank + 1) / log2(A.rank + 1.0)) AS r FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item GROUP BY ALL) SELECT i.list_id AS list_id, round(coalesce(r, 0) / i, 9) AS ndcg FROM i LEFT JOIN r ON i.list_id = r.list_id")
 def ndcg_rank(spark, d):
     return rounded(rank_metrics.ndcg(*_lists(spark, d)), "ndcg")
@@ -291,9 +304,36 @@ def mc_error(spark, d):
     return error_model.mean_precision(error_model.monte_carlo(spark, 10_000, [8, 16, 32], [8, 16, 32, 50, 75, 100], 8, 5))
 
 
-@query()
+@query("SELECT parts, k, TRUE AS in_range, k <= 8 AS exact, TRUE AS better_with_parts FROM (VALUES (8), (16), (32)) p(parts), (VALUES (8), (16), (32), (50), (75), (100)) k(k)")
+def mc_error_properties(spark, d):
+    """What holds for any draw: shares between 0 and 1, no error up to the kept number, more parts no worse."""
+    m = mc_error(spark, d)
+    before = F.lag("precision").over(Window.partitionBy("k").orderBy("parts"))
+    return m.withColumn("before", before).select("parts", "k", F.col("precision").between(0.0, 1.0).alias("in_range"), (F.col("k") <= 8).alias("exact"), (F.coalesce(F.col("precision") >= F.col("before") - 0.02, F.lit(True)) & ((F.col("k") > 8) | (F.col("precision") == 1))).alias("better_with_parts"))
+
+
+def _choose(n: str, k: str) -> str:
+    return f"exp(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+
+
+_PRECISION = f"CASE WHEN k <= 8 THEN 1.0 WHEN 8 * parts < k THEN 0.0 ELSE 1 - parts * coalesce(list_sum(list_transform(range(9, least(1000 // parts, k)), lambda i: {_choose('(1000 // parts)', 'i')})), 0) / {_choose('1000', 'k')} END"
+
+
+@query(f"SELECT parts, k, round({_PRECISION}, 6) AS precision FROM (VALUES (8), (16), (32)) p(parts), (VALUES (8), (16), (32), (50), (75), (100)) k(k)")
 def closed_form(spark, d):
-    return error_model.closed_form_table(spark, 1000, [8, 16, 32], [8, 16, 32, 50, 75, 100])
+    return rounded(error_model.closed_form_table(spark, 1000, [8, 16, 32], [8, 16, 32, 50, 75, 100]), "precision", digits=6)
+
+
+@query(f"SELECT parts, round(avg({_PRECISION}), 6) AS precision FROM (VALUES (8), (16), (32)) p(parts), (SELECT unnest(range(1, 101)) AS k) GROUP BY parts")
+def closed_form_mean(spark, d):
+    return rounded(spark.createDataFrame([(p, error_model.closed_form_mean(1000, p, 100, 8)) for p in (8, 16, 32)], "parts int, precision double"), "precision", digits=6)
+
+
+@query("SELECT CAST(5000 AS BIGINT) AS n, TRUE AS in_range, TRUE AS all_met")
+def gen_ints(spark, d):
+    g = generate.random_ints(spark, 5000, 10)
+    x = g.columns[-1]
+    return g.agg(F.count("*").alias("n"), F.every((F.col(x) >= 0) & (F.col(x) < 10)).alias("in_range"), (F.countDistinct(x) == 10).alias("all_met"))
 
 
 # --- files --------------------------------------------------------------------------------------------------
@@ -354,3 +394,89 @@ def result_log(spark, d):
         (F.col("sw_res_idx")[0] + F.aggregate("hw_res_val", F.lit(0.0), lambda s, x: s + x).cast("long") / 2 + 0).cast("long").alias("total"),
         name[0].alias("hardware"), name[2].alias("cols"), name[3].alias("distribution"),
     )
+
+
+@query(f"WITH {L_SQL}, n AS (SELECT max(row) + 1 AS rows FROM L), s AS (SELECT row, sum(val) AS v FROM L GROUP BY row) SELECT r.row AS row, CAST(0 AS BIGINT) AS col, coalesce(v, 0.0) AS val FROM (SELECT unnest(range((SELECT rows FROM n))) AS row) r LEFT JOIN s ON s.row = r.row")
+def mtx_array(spark, d):
+    """A dense file of one column: the totals of all rows, written and read back."""
+    totals = view_l(spark, d).groupBy("row").agg(F.sum("val").alias("val")).withColumn("col", F.lit(0).cast("long"))
+    path, rows = f"{_scratch(spark)}/dense.mtx", (totals.agg(F.max("row")).first()[0] or -1) + 1
+    mtx.write_array(totals, path, rows, 1, digits=17)
+    return mtx.read_mtx(spark, path)
+
+
+def _log_cells(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Events as rows of a kind of log: numbers by the column's place, lists of two."""
+    e = _t(spark, d, "events")
+    cells = []
+    for i, c in enumerate(result_logs.COLUMNS[kind]):
+        if c.endswith("_res_idx"):
+            cells.append(F.array("event_id", "user_id").alias(c))
+        elif c.endswith("_res_val"):
+            cells.append(F.array(F.col("event_id") * 0.5, F.lit(1.5)).alias(c))
+        else:
+            cells.append((F.col("event_id") * 10 + i).cast("double" if c.endswith("_ms") else "long").alias(c))
+    return e.select(*cells)
+
+
+def _log_back(spark: SparkSession, d: str, kind: str, file: str) -> DataFrame:
+    path = f"{_scratch(spark)}/{file}"
+    result_logs.write_log(_log_cells(spark, d, kind), path, kind)
+    return result_logs.read_log(spark, path, kind)
+
+
+def _log_sql(kind: str) -> str:
+    cells = []
+    for i, c in enumerate(result_logs.COLUMNS[kind]):
+        if c.endswith("_res_idx"):
+            cells.append(f"CAST(event_id AS VARCHAR) || ';' || CAST(user_id AS VARCHAR) AS {c}")
+        elif c.endswith("_res_val"):
+            cells.append(f"event_id * 0.5 + 1.5 AS {c}")
+        else:
+            cells.append(f"CAST(event_id * 10 + {i} AS {'DOUBLE' if c.endswith('_ms') else 'BIGINT'}) AS {c}")
+    return f"SELECT {', '.join(cells)} FROM events"
+
+
+def _log_view(df: DataFrame, kind: str) -> DataFrame:
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return df.select(*(F.array_join(c, ";").alias(c) if c.endswith("_res_idx") else total(c).alias(c) if c.endswith("_res_val") else F.col(c) for c in result_logs.COLUMNS[kind]))
+
+
+@query(_log_sql("gpu"))
+def result_log_gpu(spark, d):
+    return _log_view(_log_back(spark, d, "gpu", "gpu_1000_512_gamma_20_csr_0_100_30.csv"), "gpu")
+
+
+@query(_log_sql("gpu_full"))
+def result_log_gpu_full(spark, d):
+    return _log_view(_log_back(spark, d, "gpu_full", "gpu_1000_512_gamma_20_csr_0_30.csv"), "gpu_full")
+
+
+@query(_log_sql("cpu"))
+def result_log_cpu(spark, d):
+    return _log_view(_log_back(spark, d, "cpu", "cpu_1000_512_gamma_20_100_30.csv"), "cpu")
+
+
+@query("SELECT event_type AS graph, CAST(user_id AS BIGINT) AS iteration, round(log10(median(abs(value) + 1)), 6) AS log_error FROM events GROUP BY ALL")
+def convergence_log(spark, d):
+    """The error curve of each graph, written as a log and read back."""
+    errors = _t(spark, d, "events").select(F.col("event_type").alias("graph"), F.col("user_id").cast("long").alias("iteration"), (F.abs("value") + 1).alias("error"))
+    path = f"{_scratch(spark)}/convergence.csv"
+    result_logs.write_log(graph.error_curve(errors), path, "convergence")
+    return rounded(result_logs.read_log(spark, path, "convergence").select("graph", "iteration", F.col("log_error").cast("double").alias("log_error")), "log_error", digits=6)
+
+
+@query("SELECT 'rank' AS graph, event_id AS iteration, event_id * 0.5 AS time_ms, event_id + 0.25 AS error_sum, CAST(2 AS BIGINT) AS lists, event_id + 2 * user_id + 7 AS vertex_sum FROM events")
+def rank_log(spark, d):
+    """A log of PageRank runs with lists of lists in its cells, read back."""
+    e = _t(spark, d, "events")
+    folder = _scratch(spark)
+    cells = e.select(
+        F.col("event_id").alias("iteration"), (F.col("event_id") * 0.5).alias("time_ms"), F.concat_ws(";", F.col("event_id").cast("string"), F.lit("0.25")).alias("errors"),
+        F.concat(F.col("event_id").cast("string"), F.lit("|"), F.col("user_id").cast("string"), F.lit(";7|"), F.col("user_id").cast("string")).alias("vertices"),
+    )
+    cells.write.mode("overwrite").option("header", True).csv(f"{folder}/rank.csv")
+    total = lambda c, zero: F.aggregate(c, zero, lambda s, x: s + x)
+    return result_logs.read_rank_log(spark, f"{folder}/rank.csv").select(
+        F.lit("rank").alias("graph"), "iteration", "time_ms", total("errors", F.lit(0.0)).alias("error_sum"), F.size("vertices").cast("long").alias("lists"), total(F.flatten("vertices"), F.lit(0).cast("long")).alias("vertex_sum"),
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import weighted
@@ -63,7 +63,10 @@ def parse_banner(line: str) -> Header:
     kind, fmt, field, sym = (w.lower() for w in words[1:5])
     if kind != "matrix" or fmt not in ("coordinate", "array") or field not in ("real", "complex", "pattern", "integer") or sym not in ("general", "symmetric", "hermitian", "skew-symmetric"):
         raise MtxError(UNSUPPORTED_TYPE, f"unsupported type: {line.strip()}")
-    return Header(fmt, field, sym)
+    h = Header(fmt, field, sym)
+    if not h.valid:
+        raise MtxError(UNSUPPORTED_TYPE, f"no such matrix: {line.strip()}")
+    return h
 
 
 def parse_size(line: str, header: Header) -> Header:
@@ -95,23 +98,31 @@ def read_header(spark: SparkSession, path: str) -> Header:
     raise MtxError(PREMATURE_EOF, "no size line")
 
 
-def read_mtx(spark: SparkSession, path: str, zero_indexed: bool = False, read_values: bool = True, directed: int = 0, ordered: bool = False, fast: bool = False) -> DataFrame:
-    """(row, col, val) of a coordinate file.
+def read_mtx(spark: SparkSession, path: str, zero_indexed: bool = False, read_values: bool = True, directed: int = 0, ordered: bool = False, fast: bool = False, strict: bool = False) -> DataFrame:
+    """(row, col, val) of a coordinate file, or of an array file, whose values stand column by column.
 
     ``zero_indexed`` tells how the file counts. Values are 1 for pattern files or with ``read_values`` off.
     ``directed``: 0 mirrors symmetric files, 1 never mirrors, 2 always. ``fast`` drops loops (and, where it
-    mirrors, repeats) and values. Lines that are no entry (blank or cut off) are left out.
+    mirrors, repeats) and values. Lines that are no entry (blank or cut off) are left out; ``strict`` counts the
+    entries first and raises if there are fewer than the size line says.
     """
     h = read_header(spark, path)
     lines = _lines(spark, path).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
     # the size line is the first line left of the block at the file's start
     first = lines.filter("block = 0").agg(F.min("at")).first()[0]
     words = F.split(F.trim("value"), r"\s+")
+    if h.format == "array":
+        coo = _dense(lines.filter(F.col("at") != first).select("at", words.alias("words")), h, read_values and not fast)
+        if strict and coo.count() < h.rows * h.cols:
+            raise MtxError(PREMATURE_EOF, "fewer values than the size line says")
+        return sort_coo(coo) if ordered else coo
     shift = 0 if zero_indexed else 1
     has_value = read_values and not fast and h.field != "pattern"
     val = F.try_element_at(words, F.lit(3)).try_cast("double") if has_value else F.lit(1.0)
     index = lambda i: (F.try_element_at(words, F.lit(i)).try_cast("long") - shift)
     coo = lines.filter(F.col("at") != first).select(index(1).alias("row"), index(2).alias("col"), val.alias("val")).filter("row IS NOT NULL AND col IS NOT NULL AND val IS NOT NULL")
+    if strict and coo.count() < (h.nnz or 0):
+        raise MtxError(PREMATURE_EOF, "fewer entries than the size line says")
     if fast:
         coo = coo.filter("row <> col")
     if directed == 2 or (directed == 0 and h.symmetry == "symmetric"):
@@ -119,11 +130,44 @@ def read_mtx(spark: SparkSession, path: str, zero_indexed: bool = False, read_va
     return sort_coo(coo) if ordered else coo
 
 
+def _dense(lines: DataFrame, h: Header, read_values: bool) -> DataFrame:
+    """(row, col, val) of an array file's values, numbered across lines; symmetric ones hold the lower triangle."""
+    values = lines.select("at", F.posexplode("words").alias("in_line", "x"))
+    # lines are few partitions of ordered ids: sizes by partition give each its first number
+    part = F.shiftright("at", 33)
+    one = values.select(part.alias("part"), "at", "in_line", F.col("x").try_cast("double").alias("val")).filter("val IS NOT NULL")
+    sizes = one.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("at", "in_line")
+    flat = one.join(sizes, "part").select((F.col("before") + F.row_number().over(inside) - 1).alias("i"), "val")
+    val = F.col("val") if read_values else F.lit(1.0)
+    if h.symmetry == "general":
+        return flat.select((F.col("i") % h.rows).alias("row"), F.floor(F.col("i") / h.rows).cast("long").alias("col"), val.alias("val")).filter(F.col("col") < h.cols)
+    # column c of the lower triangle begins at c n - c (c - 1) / 2, or without the diagonal at c (n - 1) - c (c - 1) / 2
+    strict = int(h.symmetry == "skew-symmetric")
+    size = h.rows - strict
+    b = 2 * size + 1
+    c = F.floor((F.lit(b) - F.sqrt(F.lit(float(b * b)) - 8 * F.col("i"))) / 2).cast("long")
+    row = F.col("i") - (F.col("c") * size - F.col("c") * (F.col("c") - 1) / 2).cast("long") + F.col("c") + strict
+    low = flat.withColumn("c", c).select(row.alias("row"), F.col("c").alias("col"), val.alias("val"))
+    mirrored = low.filter("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), (F.col("val") * (-1 if strict else 1)).alias("val"))
+    return low.unionAll(mirrored)
+
+
+def write_array(coo: DataFrame, path: str, rows: int, cols: int, digits: int = 10) -> None:
+    """One array file: banner, comment line, sizes, then all values column by column, 0 where there is no entry."""
+    spark = coo.sparkSession
+    h = Header("array", "real", "general", rows, cols)
+    every = spark.range(rows * cols).select((F.col("id") % rows).alias("row"), F.floor(F.col("id") / max(1, rows)).cast("long").alias("col"), "id")
+    body = every.join(coo.select("row", "col", "val"), ["row", "col"], "left").select(F.lit(1).alias("part"), "id", F.format_string(f"%.{digits}g", F.coalesce("val", F.lit(0.0))).alias("value"))
+    head = spark.createDataFrame([(0, i, x) for i, x in enumerate((h.banner(), "%", h.size_line()))], "part int, id long, value string")
+    head.unionAll(body).orderBy("part", "id").coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
 def write_mtx(coo: DataFrame, path: str, rows: int, cols: int, digits: int = 10, zero_indexed: bool = False, field: str = "real") -> None:
     """One coordinate file: banner, comment line, sizes, entries by row and column with ``digits`` significant digits
     (17 keep a double exactly). A single text file is the format; larger results are better kept as Parquet."""
-    from pyspark.sql import Window  # noqa: F401
-
     spark, nnz = coo.sparkSession, coo.count()
     shift = 0 if zero_indexed else 1
     h = Header("coordinate", field, "general", rows, cols, nnz)
@@ -152,8 +196,3 @@ def load_graph(spark: SparkSession, path: str, zero_indexed: bool = False) -> Da
     """(src, dst, weight): edges without loops, weighted 1 / out-degree of the source."""
     edges = read_mtx(spark, path, zero_indexed, fast=True, directed=1).select(F.col("row").alias("src"), F.col("col").alias("dst"))
     return weighted(edges)
-
-
-def file_size(spark: SparkSession, path: str) -> int:
-    """Bytes of a file or of all files of a folder."""
-    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

@@ -220,3 +220,72 @@ def test_packet_segments_against_counting(spark):
             seen.add(row)
     got = matrix.packet_segments(coo_of(spark, entries), 7, 5, 40).select("part", "packet", "row", "entries", "upto", "starts").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def _file(tmp_path, name, text):
+    path = tmp_path / name
+    path.write_text(text)
+    return str(path)
+
+
+def test_dense_files(spark, tmp_path):
+    got = lambda text, **o: sorted((r.row, r.col, r.val) for r in mtx.read_mtx(spark, _file(tmp_path, f"d{abs(hash(text))}.mtx", text), **o).collect())
+    assert got("%%MatrixMarket matrix array real general\n% c\n2 3\n1\n2\n3 4\n\n5\n6\n") == [(0, 0, 1), (0, 1, 3), (0, 2, 5), (1, 0, 2), (1, 1, 4), (1, 2, 6)]
+    lower = "%%MatrixMarket matrix array real symmetric\n3 3\n" + "\n".join("123456")
+    want = {(0, 0): 1, (1, 0): 2, (2, 0): 3, (1, 1): 4, (2, 1): 5, (2, 2): 6}
+    assert got(lower) == sorted({(r, c, float(v)) for (a, b), v in want.items() for r, c in ((a, b), (b, a))})
+    skew = "%%MatrixMarket matrix array integer skew-symmetric\n3 3\n1\n2\n3\n"
+    assert got(skew) == sorted([(1, 0, 1), (2, 0, 2), (2, 1, 3), (0, 1, -1), (0, 2, -2), (1, 2, -3)])
+    assert got("%%MatrixMarket matrix array real general\n2 2\n1\n2\n3\n4\n", read_values=False) == [(i, j, 1.0) for i in (0, 1) for j in (0, 1)]
+
+
+def test_short_and_impossible_files(spark, tmp_path):
+    short = _file(tmp_path, "short.mtx", "%%MatrixMarket matrix coordinate real general\n3 3 3\n1 1 5\n2 2 6\n")
+    assert mtx.read_mtx(spark, short).count() == 2
+    with pytest.raises(mtx.MtxError) as e:
+        mtx.read_mtx(spark, short, strict=True)
+    assert e.value.code == mtx.PREMATURE_EOF
+    for kind in ("array pattern general", "coordinate real hermitian", "coordinate pattern skew-symmetric"):
+        with pytest.raises(mtx.MtxError) as e:
+            mtx.read_header(spark, _file(tmp_path, "x.mtx", f"%%MatrixMarket matrix {kind}\n1 1 1\n1 1\n"))
+        assert e.value.code == mtx.UNSUPPORTED_TYPE
+
+
+def test_program_and_sweep(spark, tmp_path):
+    from nearfield import run
+
+    coo = generate.random_matrix(spark, 300, 64, 8)
+    path = str(tmp_path / "some_matrix.mtx")
+    mtx.write_mtx(coo, path, 300, 64, digits=17)
+    log = run.run(spark, parse(["-m", path, "-t", "2", "-k", "5", "-i", "exact"])).collect()
+    assert [r.iteration for r in log] == [0, 1] and all(r.error_idx == r.error_val == 0 and len(r.hw_res_idx) == 5 for r in log)
+    assert log[0].sw_res_val != log[1].sw_res_val
+    same = run.run(spark, parse(["-m", path, "-t", "2", "-k", "5", "-r", "-v", "-a", "-c", "4", "-g", "5"])).collect()
+    assert same[0].hw_res_idx == same[1].hw_res_idx and same[0].hw_setup_time_ms > 0
+    paths = run.sweep(spark, str(tmp_path), [path], {"k": [3, 5], "impl": ["exact"], "iterations": [1]})
+    back = [result_logs.read_log(spark, p, "fpga").first() for p in paths]
+    assert [(r.k, len(r.hw_res_idx), r.file_rows) for r in back] == [(3, 3, "some-matrix"), (5, 5, "some-matrix")]
+
+
+def test_layouts_of_rank_logs(spark, tmp_path):
+    old = _file(tmp_path, "g1.csv", "iter,time_ms\n1,2.5\n")
+    new = _file(tmp_path, "g2.csv", "iteration,time_ms,errors,vertices\n3,1.5,0.5;0.25,1|2;3\n4,1.0,,\n")
+    assert result_logs.read_rank_log(spark, old).collect() == [("g1", 1, 2.5, [], [])]
+    assert result_logs.read_rank_log(spark, new).collect() == [("g2", 3, 1.5, [0.5, 0.25], [[1, 2], [3]]), ("g2", 4, 1.0, [], [])]
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import sys, importlib.abc\n"
+        "class Gone(importlib.abc.MetaPathFinder):\n"
+        "    def find_spec(self, name, path, target=None):\n"
+        "        if name.split('.')[0] in ('ahocorasick', 'zstandard'): raise ImportError(name)\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as e\n"
+        "assert 'topk_exact' in e.queries() and 'op6_bpe' not in e.queries() and 'pipeline' not in e.oracle_sql()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
