@@ -180,9 +180,13 @@ def _forest(nodes: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int,
     return nodes[joined], nodes[label[joined]]
 
 
-def _with_size(placed: DataFrame) -> DataFrame:
-    """Rows (node, key, ...) of shards of at least two, with the shard's size n."""
-    return placed.join(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+def _with_size(placed: DataFrame, hot: int) -> DataFrame:
+    """Rows (node, key, ...) of shards of at least two, with the shard's size n. The rows of a shard of over ``hot``
+    stay where they are: such keys are few, and are broadcast with their sizes."""
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    large = F.broadcast(sizes.filter(F.col("n") > hot))
+    rest = placed.join(large, "key", "left_anti").join(sizes.filter(F.col("n") <= hot), "key")
+    return placed.join(large, "key").unionByName(rest)
 
 
 def link_forest(nodes: DataFrame, keys: Column, finer: Callable[[Column, Column], Column], radius: int, shard_rows: int, least: float | None = None) -> DataFrame:
@@ -193,9 +197,10 @@ def link_forest(nodes: DataFrame, keys: Column, finer: Callable[[Column, Column]
     the key in ``keys`` and the key. Only nodes and keys are shuffled until the shards of one are gone.
     """
     cols = ["node", "fp"] + ["sig"] * (least is not None)
-    placed = shared(_with_size(nodes.select("node", F.posexplode(keys).alias("route", "key"))))
+    hot = max(512, nodes.count() // 2_000)  # at most 2,000 such keys in each route
+    placed = shared(_with_size(nodes.select("node", F.posexplode(keys).alias("route", "key")), hot))
     large = placed.filter(F.col("n") > 2 * shard_rows).join(nodes, "node").select("node", F.explode(finer(F.col("route"), F.col("key"))).alias("key"))
-    dealt = placed.filter(F.col("n") <= 2 * shard_rows).select("node", "key", "n").unionByName(_with_size(large).select("node", "key", "n"))
+    dealt = placed.filter(F.col("n") <= 2 * shard_rows).select("node", "key", "n").unionByName(_with_size(large, hot).select("node", "key", "n"))
     cells = (
         dealt.join(nodes.select(*cols), "node")
         .withColumn("chunks", F.ceil(F.col("n") / (2 * shard_rows)).cast("long"))

@@ -161,3 +161,51 @@ def test_hot_shingles_lose_no_link(spark):
     want, _ = kept_by_all_pairs(docs)
     got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), shard_rows=4).collect()}
     assert got == want
+
+
+def write_tables(spark, folder, rows, labels):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, kept_id string, blocks string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return df
+
+
+def test_whole_pipeline_against_plain_steps(spark, tmp_path):
+    """Nulls, empty and repeated texts, ties, long texts and clashing columns through all stages."""
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from nearfield.llm import bpe
+
+    long = " ".join(f"word{i % 977} x{i % 13}" for i in range(30_000))
+    near = " ".join(f"n{i}" for i in range(120))
+    texts = [None, "", "some plain words of a text", "some plain words of a text", "mail a.b@example.org now", "Ünïcode text über alles", long, near, near + " more", "   ", "\n\n", "a"]
+    rows = [(i if i % 5 else None, t, ["en", None][i % 2], [None, "s1", "s2"][i % 3], len(t or ""), i, "k", "b") for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4]]
+    docs = write_tables(spark, str(tmp_path), rows, [])
+    kept = simhash.keep_one(docs.select(*cp.COLUMNS)).collect()
+    sets = {}
+    for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        words = frozenset(shingles(r[1] or ""))
+        if not any(len(words & s) >= 0.8 * len(words | s) if words | s else True for s in sets):
+            sets[words] = r
+    assert {frozenset(shingles(r.text or "")) for r in kept} == set(sets) and len(kept) == len(sets)
+    assert all(r.doc_id == sets[frozenset(shingles(r.text or ""))][0] for r in kept)
+    stages, now = [], docs
+    for _, f in cp.STAGES:
+        now = shared(f(spark, now, str(tmp_path)))
+        stages.append(now)
+    assert sorted(map(str, stages[0].collect())) == sorted(str(r) for r in docs.select(*cp.COLUMNS).collect())  # no labels: all stay
+    masked = {r.text for r in stages[2].collect()}
+    assert "mail <EMAIL> now" in masked and long in masked
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), special_tokens={})
+    want = sorted((str(r.doc_id), lib.encode_ordinary(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in stages[3].collect())
+    assert want == sorted((str(r.doc_id), list(r.ids), r.decoded_sha256) for r in stages[4].collect()) and want
+    assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, stages[4].collect()))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    write_tables(spark, str(tmp_path), [], [])
+    assert cp.run(spark, str(tmp_path)).count() == 0
