@@ -191,7 +191,7 @@ def predict(docs: DataFrame, train_docs: int = 2000, hold_out: int = 4, held: in
     """(doc_id, lang_pred, score) of every row of ``docs``; learns from about ``train_docs`` rows outside the fold ``held``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     known = rows.filter((crc_mod(F.col("doc_id"), hold_out) != held) & F.col("lang").isNotNull() & (F.col("text") != ""))
-    got = sorted((r.doc_id, r.text, r.lang) for r in hash_sample(known, "doc_id", train_docs).limit(2 * train_docs).collect())
+    got = sorted((r.doc_id, r.text, r.lang) for r in hash_sample(known, "doc_id", train_docs).distinct().limit(2 * train_docs).collect())
     net = docs.sparkSession.sparkContext.broadcast(train([t.encode() for _, t, _ in got], [x for _, _, x in got]))
 
     def run(batches):

@@ -429,7 +429,7 @@ def find_spans(net: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Spa
 def _each(docs: DataFrame, keep: list[str], fields: list[T.StructField], train_docs: int, make) -> DataFrame:
     """Rows of ``docs`` with columns ``keep`` and what ``make(text, base, added)`` returns, as ``fields``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sample = [r.text for r in hash_sample(docs.select("doc_id", text.alias("text")), "doc_id", train_docs).limit(2 * train_docs).collect()]
+    sample = [r.text for r in hash_sample(docs.select("doc_id", text.alias("text")), "doc_id", train_docs).distinct().limit(2 * train_docs).collect()]
     net = docs.sparkSession.sparkContext.broadcast(train(sorted(sample)))
     rows = docs.select(*keep, text.alias("_text"))
     schema = T.StructType(rows.drop("_text").schema.fields + fields)

@@ -219,9 +219,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic_docs: int, ordinar
     shares = {r.toxic: r["count"] for r in ids.groupBy("toxic").count().collect()}
     few = hash_sample(ids.filter("toxic = 1"), "doc_id", toxic_docs).unionAll(hash_sample(ids.filter("toxic = 0"), "doc_id", ordinary_docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    got = texts.join(F.broadcast(few), "doc_id").limit(2 * (toxic_docs + ordinary_docs)).collect()
-    once = {r.doc_id: r for r in sorted(got, key=lambda r: (r.doc_id, r.text))}
-    return [r.text for r in once.values() if r.toxic == 1], [r.text for r in once.values() if r.toxic == 0], (shares.get(1, 0), shares.get(0, 0))
+    # one text for each id, however often it stands in the table
+    got = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    kinds = [[r.text for r in sorted(got, key=lambda r: r.doc_id) if r.toxic == y] for y in (1, 0)]
+    return kinds[0], kinds[1], (shares.get(1, 0), shares.get(0, 0))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1000, ordinary_docs: int = 3000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
