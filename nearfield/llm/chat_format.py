@@ -65,8 +65,9 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``turns`` array<struct<role, text>> parsed from ``formatted`` and ``loss_text`` from the mask."""
+def read_back(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """Adds ``turns`` array<struct<role, text>> parsed from ``formatted``, and ``loss_text``: the texts of ``loss_role`` found
+    there, which must be what the mask of ``segments`` marks."""
     blocks = F.filter(F.split("formatted", r"<\|end\|>\n", -1), lambda b: b != "")
 
     def parse(b):
@@ -76,8 +77,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     # the inner transform sees the block already parsed: a block of many turns is split once
     turns = F.flatten(F.transform(F.transform(blocks, parse), lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescape(t).alias("text")))))
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    return formatted.withColumns({"turns": turns, "loss_text": F.array_join(loss, "")})
+    marked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    found = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == F.lit(loss_role)), lambda t: t["text"]), "")
+    same = F.when(found == marked, found).otherwise(F.raise_error(F.lit("the loss mask differs from the formatted text")))
+    return formatted.withColumn("turns", turns).withColumn("loss_text", same)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from nearfield.llm import chat_format as cf
@@ -23,3 +24,12 @@ def test_round_trip_and_merge(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert cf.read_back(cf.format_conversations(df)).count() == 0
+
+
+def test_mask_must_agree_with_the_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string")
+    formatted = cf.format_conversations(df)
+    assert cf.read_back(formatted).first().loss_text == "a"
+    wrong = formatted.withColumn("segments", F.transform("segments", lambda s: F.struct(s["text"].alias("text"), (~s["loss"]).alias("loss"))))
+    with pytest.raises(Exception, match="mask"):
+        cf.read_back(wrong).collect()
