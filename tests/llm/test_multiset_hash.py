@@ -97,9 +97,11 @@ def test_lanes_are_independent(spark):
 
 
 def test_many_paragraphs_do_not_carry(spark):
-    df = spark.range(1).select(F.repeat(F.lit("a\n"), 1_200_000).alias("t"), F.repeat(F.lit("b\n"), 1_200_000).alias("u"))
-    df = mh.with_vector(mh.with_vector(df, "t", "v"), "u", "w")
-    near, far, same = df.select(mh.likeness(F.col("v"), mh.combine(F.col("v"), F.col("w"))), mh.likeness(F.col("v"), F.col("w")), mh.likeness(F.col("v"), F.col("v"))).first()
+    """The vectors of two million paragraphs: those of a thousand, added as often."""
+    often = lambda v: F.struct((v["n"] * 2048).alias("n"), F.transform(v["wide"], lambda x: F.pmod(x * 2048, F.lit(1 << 32))).alias("wide"), F.transform(v["signs"], lambda x: x * 2048).alias("signs"))
+    df = spark.range(1).select(F.repeat(F.lit("a\n"), 1024).alias("t"), F.repeat(F.lit("b\n"), 1024).alias("u"))
+    df = mh.with_vector(mh.with_vector(df, "t", "v"), "u", "w").select(often(F.col("v")).alias("v"), often(F.col("w")).alias("w"))
+    n, near, far, same = df.select(F.col("v.n"), mh.likeness(F.col("v"), mh.combine(F.col("v"), F.col("w"))), mh.likeness(F.col("v"), F.col("w")), mh.likeness(F.col("v"), F.col("v"))).first()
     ones = [np.array([1 if spark_hash(p, i) >> b & 1 else -1 for i in range(4) for b in range(48)]) for p in "ab"]
     cos = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
-    assert same == 1 and abs(near - cos(ones[0], ones[0] + ones[1])) < 1e-9 and abs(far - max(0, cos(*ones))) < 1e-9
+    assert n == 1 << 21 and same == 1 and abs(near - cos(ones[0], ones[0] + ones[1])) < 1e-9 and abs(far - max(0, cos(*ones))) < 1e-9

@@ -203,7 +203,6 @@ def test_whole_pipeline_against_plain_steps(spark, tmp_path):
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))), special_tokens={})
     want = sorted((str(r.doc_id), lib.encode_ordinary(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in stages[3].collect())
     assert want == sorted((str(r.doc_id), list(r.ids), r.decoded_sha256) for r in stages[4].collect()) and want
-    assert sorted(map(str, cp.run(spark, str(tmp_path)).collect())) == sorted(map(str, stages[4].collect()))
 
 
 def test_pipeline_of_an_empty_table(spark, tmp_path):
