@@ -39,6 +39,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 64, 24
 MARGIN = (WINDOW - STEP) // 2
 REACH, LONGEST = 24, 320
+RANGE = 1 << 18
 #: a window's vote for the tag of its i-th character
 VOTE = 1.0 + np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
 HIDDEN = 12
@@ -223,36 +224,36 @@ class Tagger:
     def tags(self, texts: list[str], everywhere: bool = False) -> list[np.ndarray | None]:
         """For each text the tags of its characters, None for outside throughout. ``everywhere`` decodes all windows,
         also those without a say."""
-        blocks, places, held = [], [], []
+        blocks, parts = [], []
+        out: list[np.ndarray | None] = []
         for text in texts:
+            out.append(None)
             if not SIGN.search(text):
-                held.append(None)
                 continue
             x = codes(text)
-            near = near_signs(text, x)
-            at = (np.flatnonzero(near) + MARGIN) // STEP
-            most = (len(x) - 1) // STEP
-            hs = np.arange(most + 1) if everywhere else np.unique(np.concatenate([at - d for d in range((WINDOW - 1) // STEP + 1)]))
-            hs = hs[(hs >= 0) & (hs <= most)]
-            padded = np.pad(x, (MARGIN, 2 * WINDOW), constant_values=32)
-            blocks += [padded[h * STEP : h * STEP + WINDOW] for h in hs.tolist()]
-            places.append(hs)
-            held.append(near)
+            near, padded = near_signs(text, x), np.pad(x, (MARGIN, 2 * WINDOW), constant_values=32)
+            out[-1] = np.zeros(len(x), np.int8)
+            for lo in range(0, len(x), RANGE):  # a very long text's votes are counted range by range
+                here = near[lo : lo + RANGE]
+                hs = np.arange(lo // STEP - 2, (lo + RANGE) // STEP + 3) if everywhere else windows_of(np.flatnonzero(here) + lo)
+                hs = hs[(hs >= 0) & (hs <= (len(x) - 1) // STEP)]
+                blocks += [padded[h * STEP : h * STEP + WINDOW] for h in hs.tolist()]
+                parts.append((out[-1][lo : lo + RANGE], hs * STEP - MARGIN - lo, here))
         got = [self.decode(np.stack(blocks[at : at + 1024], axis=1)) for at in range(0, len(blocks), 1024)]
         got = np.concatenate(got, axis=1).T if got else np.zeros((0, WINDOW), np.int8)
-        out: list[np.ndarray | None] = []
         done = 0
-        each = iter(places)
-        for near in held:
-            if near is None:
-                out.append(None)
-                continue
-            hs = next(each)
-            out.append(voted(got[done : done + len(hs)], hs * STEP - MARGIN, near))
-            done += len(hs)
+        for to, starts, here in parts:
+            to[:] = voted(got[done : done + len(starts)], starts, here)
+            done += len(starts)
         return out
 
 
+def windows_of(places: np.ndarray) -> np.ndarray:
+    """Numbers of the windows that hold any of the places."""
+    at = (places + MARGIN) // STEP
+    return np.unique(np.concatenate([at - d for d in range((WINDOW - 1) // STEP + 1)]))
+
+
 def near_signs(text: str, x: np.ndarray) -> np.ndarray:
     """Which characters (of classes ``x``) can belong to a span of the network."""
     n = len(x)

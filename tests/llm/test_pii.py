@@ -168,3 +168,12 @@ def test_added_spans_touch_no_base_span():
         base = [("ip", a, a + rng.randrange(1, 30)) for a in rng.sample(range(100), rng.randrange(5))]
         free = pii.reconcile(text, tags, [])
         assert pii.reconcile(text, tags, base) == [s for s in free if not any(x < s[2] and s[1] < z for _, x, z in base)]
+
+
+def test_ranges_of_long_texts(tagger, monkeypatch):
+    texts = odd_texts(random.Random(8))
+    whole = tagger.tags(texts)
+    monkeypatch.setattr(pii, "RANGE", 50)
+    for everywhere in (False, True):
+        for a, b in zip(whole, tagger.tags(texts, everywhere), strict=True):
+            assert (a is None) == (b is None) and (a is None or (a == b).mean() > 0.999)
