@@ -93,7 +93,7 @@ ADDED = ("size", "source_size", "target", "start", "stream", "blocks", "quota",
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, block_words: int = 128,
-    shard_docs: int = 4000, seed: int = 17, size: Column | None = None, tie: Column | None = None,
+    shard_docs: int = 1000, seed: int = 17, size: Column | None = None, tie: Column | None = None,
 ) -> DataFrame:
     """Adds to ``docs``: size, source_size, target, start, stream, blocks, quota, u, taken.
 
