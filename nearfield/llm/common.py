@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,4 @@ def slices(batch, column: int, size: int = 1 << 20, rows: int = 1024):
         to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, side="right"))))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
