@@ -47,12 +47,18 @@ def ndcg(ref: DataFrame, got: DataFrame, relevance: str = "rank", t: int | None
 
 def bounded_ndcg(ref: DataFrame, got: DataFrame, bounds: tuple[int, ...] = (10, 20, 50), relevance: str = "rank") -> DataFrame:
     """(list_id, t, ndcg) for each bound up to the length of the reference."""
-    sizes = ref.groupBy("list_id").agg(F.max("rank").alias("_n"))
-    out = None
-    for t in bounds:
-        one = ndcg(ref, got, relevance, t).join(sizes.filter(F.col("_n") >= t), "list_id").select("list_id", F.lit(t).alias("t"), "ndcg")
-        out = one if out is None else out.unionAll(one)
-    return out
+    # as ndcg() of the lists cut at each bound, in one pass
+    g = got.select("list_id", "item", F.col("rank").alias("_g"))
+    both = ref.select("list_id", "item", F.col("rank").alias("_r"), F.col("score").alias("_s")).join(g, ["list_id", "item"], "left")
+    sums = [F.max("_r").alias("_n")]
+    for i, t in enumerate(bounds):
+        own = t - F.col("_r") + 1.0 if relevance == "rank" else F.col("_s")
+        gain = (t - F.col("_g") + 1.0) / F.log2(F.col("_r") + 1.0) if relevance == "rank" else F.col("_s") / F.log2(F.col("_g") + 1.0)
+        inside = F.col("_r") <= t
+        sums += [F.sum(F.when(inside, own / F.log2(F.col("_r") + 1.0))).alias(f"_ideal{i}"), F.sum(F.when(inside & (F.col("_g") <= t), gain)).alias(f"_real{i}")]
+    value = lambda i: F.when(F.col(f"_ideal{i}") != 0, F.coalesce(f"_real{i}", F.lit(0.0)) / F.col(f"_ideal{i}")).otherwise(0.0)
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), value(i).alias("ndcg")) for i, t in enumerate(bounds)))).alias("_x")
+    return both.groupBy("list_id").agg(*sums).select("list_id", "_n", each).filter("_n >= _x.t").select("list_id", "_x.t", "_x.ndcg")
 
 
 def kendall_tau(ref: DataFrame, got: DataFrame) -> DataFrame:

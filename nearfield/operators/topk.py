@@ -30,7 +30,7 @@ def padded(top: DataFrame, k: int) -> DataFrame:
     return top.select("row", "score").unionAll(missing.select(F.lit(0).cast("long"), F.lit(0).cast(top.schema["score"].dataType)))
 
 
-def per_row_topk(scores: DataFrame, k: int, by: str) -> DataFrame:
+def per_row_topk(scores: DataFrame, k: int, by: str | list[str]) -> DataFrame:
     """The k best rows in each group of ``by``, with rank; Spark limits groups before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), F.desc("row"))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

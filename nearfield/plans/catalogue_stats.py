@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fc
-from ..operators import error_model, generate, graph, matrix, rank_metrics, stats, topk
+from ..operators import batch_topk, error_model, generate, graph, matrix, rank_metrics, stats, topk
 from ..operators.graph import is_local
 from ..sources import mtx, result_logs
 from .catalogue import E_SQL, G_SQL, L_SQL, T_SQL, _t, query, rounded, view_e, view_g, view_l, view_t
@@ -38,6 +38,12 @@ def _list_sql(name: str, w: int, asked: str = "q.row < 8", most: int = _TOP) ->
     )
 
 
+def _swept(spark: SparkSession, d: str, asked: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """As :func:`_lists`, for queries that grow with the table."""
+    lists = batch_topk.fixed_lists(_t(spark, d, "embeddings"), asked, most, (32, 8))
+    return lists[32], lists[8]
+
+
 SWEEP = (8, 16, 32, 50, 75, 100)
 SWEEP_SQL = f"{E_SQL}, {_list_sql('A', 32, 'q.row % 20 = 0', 100)}, {_list_sql('B', 8, 'q.row % 20 = 0', 100)}, t AS (SELECT unnest({list(SWEEP)}) AS t)"
 LISTS_SQL = f"{E_SQL}, {_list_sql('A', 32)}, {_list_sql('B', 8)}"
@@ -56,7 +62,7 @@ def precision_sweep(spark, d):
 
 @query(f"WITH {SWEEP_SQL}, i AS (SELECT list_id, t, sum((t - rank + 1) / log2(rank + 1.0)) AS i FROM A, t WHERE rank <= t GROUP BY ALL), r AS (SELECT A.list_id AS list_id, t, sum((t - B.rank + 1) / log2(A.rank + 1.0)) AS r FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item, t WHERE A.rank <= t AND B.rank <= t GROUP BY ALL) SELECT i.list_id AS list_id, i.t AS t, round(coalesce(r, 0) / i, 9) AS ndcg FROM i LEFT JOIN r ON i.list_id = r.list_id AND i.t = r.t WHERE i.t <= (SELECT count(*) FROM embeddings)")
 def ndcg_sweep(spark, d):
-    return rounded(rank_metrics.bounded_ndcg(*_lists(spark, d, "row % 20 = 0", max(SWEEP)), bounds=SWEEP), "ndcg")
+    return rounded(rank_metrics.bounded_ndcg(*_swept(spark, d, "row % 20 = 0", max(SWEEP)), bounds=SWEEP), "ndcg")
 
 
 @query(f"WITH {LISTS_SQL}, i AS (SELECT list_id, sum(({_TOP} - rank + 1) / log2(rank + 1.0)) AS i FROM A GROUP BY ALL), r AS (SELECT A.list_id AS list_id, sum(({_TOP} - B.rank + 1) / log2(A.rank + 1.0)) AS r FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item GROUP BY ALL) SELECT i.list_id AS list_id, round(coalesce(r, 0) / i, 9) AS ndcg FROM i LEFT JOIN r ON i.list_id = r.list_id")
