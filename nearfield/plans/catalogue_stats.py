@@ -19,13 +19,13 @@ from .catalogue import E_SQL, G_SQL, L_SQL, T_SQL, _t, query, rounded, view_e, v
 _TOP = 50
 
 
-def _lists(spark: SparkSession, d: str, asked: str = "row < 8", most: int = _TOP) -> tuple[DataFrame, DataFrame]:
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = view_e(spark, d)
     out = []
     for width in (32, 8):
-        q = e.filter(asked).select(F.col("row").alias("list_id"), "col", fc.quantise(F.col("val"), width).alias("q"))
+        q = e.filter("row < 8").select(F.col("row").alias("list_id"), "col", fc.quantise(F.col("val"), width).alias("q"))
         s = e.join(q, "col").groupBy("list_id", "row").agg(F.sum(fc.fixed_product(fc.quantise(F.col("val"), width), F.col("q"), width)).alias("score"))
-        top = topk.per_row_topk(s, most, "list_id")
+        top = topk.per_row_topk(s, _TOP, "list_id")
         out.append(top.select("list_id", "rank", F.col("row").alias("item"), (F.col("score") / float(1 << (width - 1))).alias("score")))
     return out[0], out[1]
 
@@ -38,13 +38,15 @@ def _list_sql(name: str, w: int, asked: str = "q.row < 8", most: int = _TOP) ->
     )
 
 
-def _swept(spark: SparkSession, d: str, asked: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """As :func:`_lists`, for queries that grow with the table."""
-    lists = batch_topk.fixed_lists(_t(spark, d, "embeddings"), asked, most, (32, 8))
+SWEEP = (8, 16, 32, 50, 75, 100)
+
+
+def _swept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """As :func:`_lists`, for queries that grow with the table and up to the largest bound."""
+    lists = batch_topk.fixed_lists(_t(spark, d, "embeddings"), "row % 20 = 0", max(SWEEP), (32, 8))
     return lists[32], lists[8]
 
 
-SWEEP = (8, 16, 32, 50, 75, 100)
 SWEEP_SQL = f"{E_SQL}, {_list_sql('A', 32, 'q.row % 20 = 0', 100)}, {_list_sql('B', 8, 'q.row % 20 = 0', 100)}, t AS (SELECT unnest({list(SWEEP)}) AS t)"
 LISTS_SQL = f"{E_SQL}, {_list_sql('A', 32)}, {_list_sql('B', 8)}"
 
@@ -57,12 +59,12 @@ def precision_at(spark, d):
 @query(f"WITH {SWEEP_SQL} SELECT l.list_id AS list_id, t.t AS t, coalesce(h.n, 0) / CAST(t.t AS DOUBLE) AS precision FROM (SELECT DISTINCT list_id FROM A) l CROSS JOIN t LEFT JOIN (SELECT A.list_id AS list_id, t, count(*) AS n FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item, t WHERE A.rank <= t AND B.rank <= t GROUP BY ALL) h ON h.list_id = l.list_id AND h.t = t.t")
 def precision_sweep(spark, d):
     """All queries whose row is divisible by 20, up to 100 results."""
-    return rank_metrics.precision_at(*_lists(spark, d, "row % 20 = 0", max(SWEEP)), list(SWEEP))
+    return rank_metrics.precision_at(*_swept(spark, d), list(SWEEP))
 
 
 @query(f"WITH {SWEEP_SQL}, i AS (SELECT list_id, t, sum((t - rank + 1) / log2(rank + 1.0)) AS i FROM A, t WHERE rank <= t GROUP BY ALL), r AS (SELECT A.list_id AS list_id, t, sum((t - B.rank + 1) / log2(A.rank + 1.0)) AS r FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item, t WHERE A.rank <= t AND B.rank <= t GROUP BY ALL) SELECT i.list_id AS list_id, i.t AS t, round(coalesce(r, 0) / i, 9) AS ndcg FROM i LEFT JOIN r ON i.list_id = r.list_id AND i.t = r.t WHERE i.t <= (SELECT count(*) FROM embeddings)")
 def ndcg_sweep(spark, d):
-    return rounded(rank_metrics.bounded_ndcg(*_swept(spark, d, "row % 20 = 0", max(SWEEP)), bounds=SWEEP), "ndcg")
+    return rounded(rank_metrics.bounded_ndcg(*_swept(spark, d), bounds=SWEEP), "ndcg")
 
 
 @query(f"WITH {LISTS_SQL}, i AS (SELECT list_id, sum(({_TOP} - rank + 1) / log2(rank + 1.0)) AS i FROM A GROUP BY ALL), r AS (SELECT A.list_id AS list_id, sum(({_TOP} - B.rank + 1) / log2(A.rank + 1.0)) AS r FROM A JOIN B ON A.list_id = B.list_id AND A.item = B.item GROUP BY ALL) SELECT i.list_id AS list_id, round(coalesce(r, 0) / i, 9) AS ndcg FROM i LEFT JOIN r ON i.list_id = r.list_id")

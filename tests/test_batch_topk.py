@@ -99,7 +99,7 @@ def shuffled(spark, run) -> int:
     return sum(n for k, n in total().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["ndcg_sweep"])
+@pytest.mark.parametrize("name", ["ndcg_sweep", "precision_sweep"])
 def test_sweeps_do_not_shuffle_pairs(spark, tmp_path, name):
     # 2400 copies shifted from 1200 vectors: 120 queries, 288,000 pairs of a query and a row for each width
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("vec_id < 1200")
